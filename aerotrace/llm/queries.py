@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .packing import packed_documents
 from .simhash import simhash_components
+from .tokens import token_digests
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +16,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(documents(spark, sf_dir), end_id=2)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir), end_id=1)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_tokens": op2_tokens, "op7_packing": op7_packing}
 SQL: dict[str, str] = {}
