@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from . import dedup, mixing
 from .packing import packed_documents
 from .simhash import simhash_components
 from .tokens import token_digests
@@ -24,5 +25,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir), end_id=1)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_tokens": op2_tokens, "op7_packing": op7_packing}
-SQL: dict[str, str] = {}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicate(documents(spark, sf_dir), dedup.DigestIndex(spark))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_tokens": op2_tokens,
+    "op7_packing": op7_packing,
+    "op9_mixing": op9_mixing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_exact_dedup": dedup.SQL}
