@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from . import dedup, mixing
+from . import dedup, mixing, pii, urls
 from .packing import packed_documents
 from .simhash import simhash_components
 from .tokens import token_digests
@@ -33,10 +33,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(documents(spark, sf_dir), dedup.DigestIndex(spark))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(documents(spark, sf_dir), key="production-key-1")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
+    "op4_pii": op4_pii,
     "op7_packing": op7_packing,
+    "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
