@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from . import dedup, mixing, pii, urls
+from . import avi, dedup, mixing, pii, urls
 from .packing import packed_documents
 from .simhash import simhash_components
 from .tokens import token_digests
@@ -21,6 +21,10 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir), end_id=2)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.text_media(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir), end_id=1)
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
     "op4_pii": op4_pii,
+    "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
