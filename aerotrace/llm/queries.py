@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from . import avi, dedup, mixing, pii, urls
+from . import avi, dedup, langid, mixing, pii, toxicity, urls
 from .packing import packed_documents
 from .simhash import simhash_components
 from .tokens import token_digests
@@ -21,6 +21,10 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir), end_id=2)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.text_media(documents(spark, sf_dir))
 
@@ -37,6 +41,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(documents(spark, sf_dir), dedup.DigestIndex(spark))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(documents(spark, sf_dir), key="production-key-1")
 
@@ -48,7 +56,9 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_tokens": op2_tokens,
+    "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
+    "op5_language": op5_language,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
