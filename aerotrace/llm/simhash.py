@@ -32,8 +32,8 @@ BLOCK = 2048
 PIVOTS = 16
 #: The pipeline's fingerprints have 512 bits. A Jaccard similarity of 0.8 of two sets of one size is a cosine of 8/9, an
 #: angle of 0.476, that is 77.6 of the bits on average with a deviation of 8.1; unrelated texts differ in 256 with a
-#: deviation of 11. The radius is one deviation above the former.
-WIDE_WORDS, WIDE_RADIUS = 8, 86
+#: deviation of 11. The radius is two deviations above the former.
+WIDE_WORDS, WIDE_RADIUS = 8, 94
 #: Buckets up to so many rows are compared many at a time.
 SMALL = 64
 
