@@ -10,15 +10,17 @@ from ..functions import kernels
 from ..functions.angles import bearing, bearing360
 from .spatial import radius_join
 
-PATH = Window.partitionBy("pathname").orderBy("seq")
+
+def _path():
+    return Window.partitionBy("pathname").orderBy("seq")
 
 
 def segments_of(points: DataFrame) -> DataFrame:
     """points (pathname, seq, x, z): consecutive pairs longer than 1e-6, with raw and compacted index, two decimals."""
-    ends = points.withColumn("bx", F.lead("x").over(PATH)).withColumn("bz", F.lead("z").over(PATH)).where("bx is not null")
+    ends = points.withColumn("bx", F.lead("x").over(_path())).withColumn("bz", F.lead("z").over(_path())).where("bx is not null")
     length = F.sqrt((F.col("bx") - F.col("x")) ** 2 + (F.col("bz") - F.col("z")) ** 2)
     rows = ends.withColumn("length", length).where("length >= 1e-6").withColumn("dir_f", bearing360(F.col("bx") - F.col("x"), F.col("bz") - F.col("z")))
-    rows = rows.withColumn("idx", F.row_number().over(PATH) - 1)
+    rows = rows.withColumn("idx", F.row_number().over(_path()) - 1)
     return rows.select("pathname", F.col("seq").alias("raw_idx"), "idx", F.bround("x", 2).alias("ax"), F.bround("z", 2).alias("az"), F.bround("bx", 2).alias("bx"), F.bround("bz", 2).alias("bz"), "length", "dir_f")
 
 
@@ -43,8 +45,8 @@ def with_neighbours(net: DataFrame, reach: int = 3) -> DataFrame:
 
 def max_turn(points: DataFrame, straight: float = 5.0) -> DataFrame:
     """The largest angle between neighbouring edges of a path, and its class: N under `straight` degrees, else R."""
-    ends = points.withColumn("dx", F.lead("x").over(PATH) - F.col("x")).withColumn("dz", F.lead("z").over(PATH) - F.col("z")).where("dx is not null and (dx <> 0 or dz <> 0)")
-    px, pz = F.lag("dx").over(PATH), F.lag("dz").over(PATH)
+    ends = points.withColumn("dx", F.lead("x").over(_path()) - F.col("x")).withColumn("dz", F.lead("z").over(_path()) - F.col("z")).where("dx is not null and (dx <> 0 or dz <> 0)")
+    px, pz = F.lag("dx").over(_path()), F.lag("dz").over(_path())
     cos = (F.col("dx") * px + F.col("dz") * pz) / (F.sqrt(F.col("dx") ** 2 + F.col("dz") ** 2) * F.sqrt(px * px + pz * pz))
     turn = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
     out = ends.withColumn("turn", turn).groupBy("pathname").agg(F.coalesce(F.max("turn"), F.lit(0.0)).alias("max_turn"))
@@ -97,6 +99,12 @@ def strict_edges(nodes: DataFrame) -> DataFrame:
     return a.join(b, "node").where("src <> dst").select("src", "dst").distinct()
 
 
+def segment_ends(net: DataFrame) -> DataFrame:
+    """(pathname, x, z): both ends of every segment, with two decimals, each once a path."""
+    a = net.select("pathname", F.bround("ax", 2).alias("x"), F.bround("az", 2).alias("z"))
+    return a.unionByName(net.select("pathname", F.bround("bx", 2).alias("x"), F.bround("bz", 2).alias("z"))).distinct()
+
+
 def space_edges(ends: DataFrame, strict: DataFrame, directions: DataFrame, radius: float = 30.0, angle: float = 20.0) -> DataFrame:
     """Pairs of paths with points at most `radius` apart that are not strict and cross at `angle` or more, both ways."""
     near = radius_join(ends.select("pathname", "x", "z"), ends.select("pathname", "x", "z"), radius).where("pathname < r_pathname")

@@ -312,7 +312,7 @@ def anchors_1m(spark, d):
 _EN = """, pe AS (SELECT pathname, 0 AS side, arg_min(ax, seg_idx) AS x, arg_min(az, seg_idx) AS z FROM net GROUP BY pathname UNION ALL SELECT pathname, 1 AS side, arg_max(bx, seg_idx) AS x, arg_max(bz, seg_idx) AS z FROM net GROUP BY pathname),
 nodes AS (SELECT *, concat(CAST(CAST(round_even(x, 0) AS BIGINT) AS VARCHAR), ',', CAST(CAST(round_even(z, 0) AS BIGINT) AS VARCHAR)) AS node FROM pe),
 strict AS (SELECT DISTINCT a.pathname AS src, b.pathname AS dst FROM nodes a JOIN nodes b ON a.node = b.node AND a.pathname <> b.pathname)"""
-_SPACE = _EN + _PATHDIR + """, near AS (SELECT DISTINCT a.pathname AS src, b.pathname AS dst FROM pe a JOIN pe b ON a.pathname < b.pathname AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 30),
+_SPACE = _EN + _PATHDIR + """, se AS (SELECT pathname, ax AS x, az AS z FROM net UNION SELECT pathname, bx, bz FROM net), near AS (SELECT DISTINCT a.pathname AS src, b.pathname AS dst FROM se a JOIN se b ON a.pathname < b.pathname AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 30),
 half AS (SELECT n.src, n.dst FROM near n JOIN pd a ON a.pathname = n.src JOIN pd b ON b.pathname = n.dst WHERE NOT EXISTS (SELECT 1 FROM strict s WHERE s.src = n.src AND s.dst = n.dst)
  AND least(abs(a.path_dir - b.path_dir), 360 - abs(a.path_dir - b.path_dir)) >= 20), space AS (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half),
 total AS (SELECT src, dst FROM strict UNION SELECT src, dst FROM space)"""
@@ -327,7 +327,7 @@ def _edges(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     n = net(spark, d)
     ends = network.path_ends(n)
     strict = network.strict_edges(network.snapped_nodes(ends))
-    space = network.space_edges(ends, strict, network.path_direction(n))
+    space = network.space_edges(network.segment_ends(n), strict, network.path_direction(n))
     return n.select("pathname").distinct(), strict, space, network.total_edges(strict, space)
 
 
@@ -603,9 +603,9 @@ def error_metrics_by_method(spark, d):
     return scoring.table(_both(spark, d), ["method", "flio"]).select("method", "flio", "n", *map(r6, _METRICS), "reversed")
 
 
-@query(_BOTH + f" SELECT DISTINCT method, {_r('eh', 'size')}, {_r('CAST(count(*) OVER (PARTITION BY method ORDER BY eh RANGE UNBOUNDED PRECEDING) AS DOUBLE) / count(*) OVER (PARTITION BY method)', 'share')} FROM e")
+@query(_BOTH + f" SELECT DISTINCT method, {_r('eh', 'size')}, {_r('CAST(count(*) OVER (PARTITION BY method ORDER BY round(eh, 6) RANGE UNBOUNDED PRECEDING) AS DOUBLE) / count(*) OVER (PARTITION BY method)', 'share')} FROM e")
 def error_distribution(spark, d):
-    return scoring.distribution(_both(spark, d), ["method"]).select("method", r6("size"), r6("share")).distinct()
+    return scoring.distribution(_both(spark, d), ["method"]).select("method", r6("size"), r6("share"))
 
 
 _SUMMARY = _CVM + f""", e AS (SELECT o.traj_id, o.seq, {_diff('c.cvm_dir', '(((coalesce(o.angle_graph, o.angle_self, 0.0) % 360) + 360) % 360)')} AS eh, CASE WHEN o.angle_graph IS NOT NULL THEN 1 END AS matched FROM obs o JOIN cvm c ON o.traj_id = c.traj_id AND o.seq = c.seq),
