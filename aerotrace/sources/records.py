@@ -103,7 +103,10 @@ def network_document(segments: DataFrame, transitions: DataFrame, anchors: DataF
     """One row (value): the network as JSON with keys in order. A map of one airport is a few MB."""
 
     def entries(df: DataFrame, key: str, value) -> DataFrame:
-        return df.groupBy(key).agg(value.alias("v")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "v")))).alias("m"))
+        def by_key(a, b):
+            return F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+
+        return df.groupBy(key).agg(value.alias("v")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "v")), by_key)).alias("m"))
 
     last = segments.groupBy("pathname", "path_no").agg(F.max(F.struct("seg_idx", "bx", "bz")).alias("l"))
     points = segments.select("path_no", "pathname", "seg_idx", F.col("ax").alias("x"), F.col("az").alias("z")).unionByName(last.select("path_no", "pathname", (F.col("l.seg_idx") + 1).alias("seg_idx"), F.col("l.bx").alias("x"), F.col("l.bz").alias("z")))
