@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fold, sampled
 
 #: Labelled rows that are learnt from, at most about so many.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
 #: Stems have at least so many letters and endings.
@@ -140,17 +140,41 @@ def _tail(k: int, n: int, p: float) -> float:
 def learn_lexicon(rows: list[tuple[str, int]]) -> tuple[frozenset[str], frozenset[str]]:
     """Words and stems of toxic rows: at least half of their uses are there, beyond chance at 1 % over all candidates."""
     toxic: dict[str, set] = defaultdict(set)
-    clean: dict[str, set] = defaultdict(set)
     n = [0, 0]
-    for text, y in rows:
-        words, into = WORDS.findall(text.lower()), toxic if y else clean
-        padded = ["", *words, ""]
-        seen: dict[str, int] = defaultdict(int)
+
+    def uses_of(text: str) -> list[tuple[str, int]]:
+        """(word, context) of every use, PER_TEXT of a word at most."""
+        words = WORDS.findall(text.lower())
+        padded, seen, out = ["", *words, ""], defaultdict(int), []
         for i, w in enumerate(words):
             seen[w] += 1
             if seen[w] <= PER_TEXT:
-                into[w].add(hash((padded[i], padded[i + 2])))
-        n[y] += len(words)
+                out.append((w, hash((padded[i], padded[i + 2]))))
+        return out
+
+    for text, y in rows:
+        if y:
+            for w, c in uses_of(text):
+                toxic[w].add(c)
+                n[1] += 1
+    # of clean rows only what toxic rows use often matters, and no more of it than decides
+    uses, endings = defaultdict(int), defaultdict(set)
+    for w, s in toxic.items():
+        for k in range(STEM, min(len(w), 8) + 1):
+            uses[w[:k]] += len(s)
+            endings[w[:k]].add(w)
+    stems_wanted = {p for p, e in endings.items() if len(e) >= ENDINGS}
+    clean: dict[str, set] = {w: set() for w, s in toxic.items() if len(s) >= 4}
+    others: dict[str, int] = dict.fromkeys(stems_wanted, 0)
+    for text, y in rows:
+        if not y:
+            for w, c in uses_of(text):
+                n[0] += 1
+                if (s := clean.get(w)) is not None and len(s) <= len(toxic[w]):
+                    s.add(c)
+                for k in range(STEM, min(len(w), 8) + 1):
+                    if w[:k] in others:
+                        others[w[:k]] += 1
     base = min(0.5, max(1e-6, n[1] / max(1, sum(n))))
 
     def strong(uses: dict[str, int], others: dict[str, int]) -> set[str]:
@@ -159,18 +183,11 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> tuple[frozenset[str], frozense
         return {w for w in some if uses[w] >= others.get(w, 0) and _tail(uses[w], uses[w] + others.get(w, 0), base) < limit}
 
     words = strong({w: len(s) for w, s in toxic.items()}, {w: len(s) for w, s in clean.items()})
-    uses, endings, others = defaultdict(int), defaultdict(set), defaultdict(int)
-    for counts, into in ((toxic, uses), (clean, others)):
-        for w, s in counts.items():
-            for k in range(STEM, min(len(w), 8) + 1):
-                into[w[:k]] += len(s)
-                if into is uses:
-                    endings[w[:k]].add(w)
-    found = sorted(strong(uses, others), key=len)
+    found = sorted(strong({p: uses[p] for p in stems_wanted}, others), key=len)
     stems: list[str] = []
     for p in found:
         # nearly all uses, with many endings, none of which is most of them
-        if len(endings[p]) >= ENDINGS and others.get(p, 0) <= STEM_CLEAN * uses[p] and max(len(toxic[w]) for w in endings[p]) <= 0.5 * uses[p] and not any(p.startswith(s) for s in stems):
+        if others.get(p, 0) <= STEM_CLEAN * uses[p] and max(len(toxic[w]) for w in endings[p]) <= 0.5 * uses[p] and not any(p.startswith(s) for s in stems):
             stems.append(p)
     return frozenset(w for w in words if not any(w.startswith(s) for s in stems) and len(w) >= 3), frozenset(stems)
 
