@@ -42,19 +42,15 @@ class WordEncoder(dict):
         low = word.lower()
         if low != word:
             ids = self[low]
-        elif (head := word.rstrip(MARKS)) != word and head and (text := head.decode("utf-8", "replace")).isalpha() and max(text) < "ɐ":
-            ids = self[head] + self[word[len(head) :]]
-        elif head == word and (text := word.decode("utf-8", "replace")).isalpha() and max(text) < "ɐ":
-            ids = self._word(text.lower())
+        elif (head := word.rstrip(MARKS)) and (text := head.decode("utf-8", "replace").lower()).isalpha() and max(text) < "ɐ":
+            ids = self._letters(text) if head == word else self[head] + self[word[len(head) :]]
         else:
             ids = self._any(word.decode("utf-8", "replace"))
         self[word] = ids
         return ids
 
-    def _word(self, text: str) -> bytes:
-        """Letters only, unless lower-casing made marks of them."""
-        if not text.isalpha():
-            return self._any(text)
+    def _letters(self, text: str) -> bytes:
+        """Lower-case letters that are one piece; the library's rules for other text are not needed."""
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(text)], "<u2").tobytes()

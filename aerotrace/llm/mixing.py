@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     rows = rows.withColumn("full", F.col("most") * F.col("shares") <= F.col("left") * F.col("weight"))
     free = ~F.col("full")
     rest = (total - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(all_rows), F.lit(0))) * F.col("weight")
-    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(rest / F.sum(F.when(free, F.col("weight"))).over(all_rows))
+    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.try_divide(rest, F.sum(F.when(free, F.col("weight"))).over(all_rows)))
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -48,7 +48,7 @@ def apportioned(rows: DataFrame, parent: list[str], child: str, size: str, whole
 
     whole: the size of all of a parent's children. Only quotients near a child's share are ranked: those below it by
     two or more are certain, those above it by three or more are out of reach."""
-    share = F.floor(F.col(seats).cast("double") * F.col(size) / F.col(whole))
+    share = F.floor(F.try_divide(F.col(seats).cast("double") * F.col(size), F.col(whole)))
     rows = rows.withColumn("__sure", F.greatest(F.coalesce(share, F.lit(0)) - 2, F.lit(0)))
     ranked = rows.withColumn("__k", F.explode(F.sequence(F.col("__sure"), F.col("__sure") + 4)))
     rest = F.col(seats) - F.sum(F.when(F.col("__k") == F.col("__sure"), F.col("__sure"))).over(Window.partitionBy(*parent))
