@@ -85,59 +85,73 @@ class Network:
 
 
 class Grid:
-    """Cells that hold what lies in them; rings of cells around a point are complete up to their inner radius."""
+    """Cells that hold what lies in them, sorted by cell; rings of cells around a point are complete up to their inner
+    radius. Cells are enlarged until there are MOST_CELLS at most."""
+
+    MOST_CELLS, AT_ONCE = 4_000_000, 1_000_000
 
     def __init__(self, low: np.ndarray, high: np.ndarray, cell: float):
-        self.cell, self.n = cell, len(low)
-        a, b = np.floor(low / cell).astype(int), np.floor(high / cell).astype(int)
-        cells: dict[tuple[int, int], list[int]] = {}
-        for i in range(len(low)):
-            for cx in range(a[i, 0], b[i, 0] + 1):
-                for cz in range(a[i, 1], b[i, 1] + 1):
-                    cells.setdefault((cx, cz), []).append(i)
-        self.cells = {k: np.array(v) for k, v in cells.items()}
-        keys = np.array(list(cells) or [(0, 0)])
-        self.low, self.high = keys.min(axis=0), keys.max(axis=0)
+        self.n = len(low)
+        while True:
+            a, b = np.floor(low / cell).astype(int), np.floor(high / cell).astype(int)
+            self.low, self.high = (a.min(axis=0), b.max(axis=0)) if self.n else (np.zeros(2, int), np.zeros(2, int))
+            self.shape = self.high - self.low + 1
+            if self.shape.prod() <= self.MOST_CELLS:
+                break
+            cell *= 2
+        self.cell = cell
+        wide = (b - a + 1).prod(axis=1) if self.n else np.empty(0, int)
+        items, cells = [np.flatnonzero(wide == 1)], [a[wide == 1]]
+        for i in np.flatnonzero(wide > 1):
+            xs, zs = np.meshgrid(np.arange(a[i, 0], b[i, 0] + 1), np.arange(a[i, 1], b[i, 1] + 1), indexing="ij")
+            cells.append(np.stack((xs.ravel(), zs.ravel()), axis=1))
+            items.append(np.full(wide[i], i))
+        items, cells = np.concatenate(items), np.concatenate(cells) - self.low
+        number = cells[:, 0] * self.shape[1] + cells[:, 1]
+        order = np.argsort(number, kind="stable")
+        self.items = items[order]
+        self.start = np.searchsorted(number[order], np.arange(self.shape.prod() + 1))
 
     def around(self, cx: int, cz: int, ring: int) -> np.ndarray:
-        """Everything within `ring` cells, ascending."""
-        x0, x1 = max(cx - ring, self.low[0]), min(cx + ring, self.high[0])
-        z0, z1 = max(cz - ring, self.low[1]), min(cz + ring, self.high[1])
-        found = [self.cells[k] for x in range(x0, x1 + 1) for z in range(z0, z1 + 1) if (k := (x, z)) in self.cells]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, int)
+        """Everything within `ring` cells, ascending: a slice of the sorted items for each column of cells."""
+        x0, x1 = max(cx - ring, self.low[0]) - self.low[0], min(cx + ring, self.high[0]) - self.low[0]
+        z0, z1 = max(cz - ring, self.low[1]) - self.low[1], min(cz + ring, self.high[1]) - self.low[1]
+        if x0 > x1 or z0 > z1:
+            return np.empty(0, int)
+        nz = self.shape[1]
+        return np.unique(np.concatenate([self.items[self.start[x * nz + z0] : self.start[x * nz + z1 + 1]] for x in range(x0, x1 + 1)]))
 
     def nearest(self, p: np.ndarray, k: int, distances, limit: float = np.inf) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each point the k nearest items (item, distance) within the limit, ties to the smaller item.
 
         distances(points, items) gives a matrix. A ring is enough when the k-th distance is inside it."""
-        k = min(k, self.n)
-        out: list = [None] * len(p)
+        k, out = min(k, self.n), [None] * len(p)
         cell = np.floor(p / self.cell).astype(int)
-        todo, ring = np.arange(len(p)), 1
-        reach = [int(max(abs(c - self.low).max(), abs(c - self.high).max())) for c in cell]
-        while len(todo):
-            left = []
-            order = todo[np.lexsort((cell[todo, 1], cell[todo, 0]))]
-            cut = np.flatnonzero((np.diff(cell[order], axis=0) != 0).any(axis=1)) + 1
-            for same in np.split(order, cut):
-                items = self.around(*cell[same[0]], ring)
-                whole = ring > reach[same[0]]
-                d = distances(p[same], items) if len(items) else np.empty((len(same), 0))
-                for row, i in enumerate(same):
-                    near = d[row]
-                    if len(near) > k:
-                        kth = np.partition(near, k - 1)[k - 1]
-                        pick = np.flatnonzero(near <= kth)
-                        pick = pick[np.argsort(near[pick], kind="stable")][:k]
-                    else:
-                        pick = np.argsort(near, kind="stable")
-                        kth = near[pick[-1]] if len(near) == k and k else np.inf
-                    if whole or kth <= ring * self.cell or limit <= ring * self.cell:
-                        pick = pick[near[pick] < limit]
-                        out[i] = (items[pick], near[pick])
-                    else:
-                        left.append(i)
-            todo, ring = np.array(left, int), ring * 2
+        order = np.lexsort((cell[:, 1], cell[:, 0]))
+        cut = np.flatnonzero((np.diff(cell[order], axis=0) != 0).any(axis=1)) + 1
+        for todo in np.split(order, cut) if len(p) else []:
+            c = cell[todo[0]]
+            # nothing is nearer than the box of all cells, everything is within its far side
+            ring = max(1, int(np.maximum(self.low - c, c - self.high).max()) + 1)
+            last = int(np.maximum(abs(c - self.low), abs(c - self.high)).max())
+            while len(todo):
+                items, left = self.around(*c, ring), []
+                enough = ring >= last or limit <= ring * self.cell
+                if len(items) >= k or enough:
+                    for same in np.array_split(todo, max(1, -(-len(todo) * len(items) // self.AT_ONCE))):
+                        d = distances(p[same], items) if len(items) else np.empty((len(same), 0))
+                        for near, i in zip(d, same, strict=True):
+                            pick = np.arange(len(near))
+                            if len(near) > k:
+                                pick = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1])
+                            pick = pick[np.argsort(near[pick], kind="stable")][:k]
+                            if enough or (len(pick) == k and near[pick[-1]] <= ring * self.cell):
+                                pick = pick[near[pick] < limit]
+                                out[i] = (items[pick], near[pick])
+                            else:
+                                left.append(i)
+                    todo = np.array(left, int)
+                ring += max(1, ring // 4)
         return out
 
 

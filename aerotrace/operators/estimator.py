@@ -44,7 +44,9 @@ class Loaded:
         return np.round(self.net.project(p, np.broadcast_to(items, (len(p), len(items))))[1], 9)
 
     def anchor_grid(self) -> kernels.Grid:
-        return kernels.Grid(self.anchors, self.anchors, 8.0)
+        """Cells of about a quarter of the anchors that a search wants."""
+        area = float(np.prod(np.maximum(np.ptp(self.anchors, axis=0), 1.0))) if len(self.anchors) else 1.0
+        return kernels.Grid(self.anchors, self.anchors, max(1.0, 0.5 * (area * KNN / max(1, len(self.anchors))) ** 0.5))
 
     def anchor_distances(self, p: np.ndarray, items: np.ndarray) -> np.ndarray:
         return np.round(np.sqrt(((p[:, None] - self.anchors[items][None]) ** 2).sum(axis=2)), 9)

@@ -6,9 +6,11 @@ touches and the exact distance is checked after the equi-join, so both sides are
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.geometry import distance_to_segment
 
 
@@ -57,11 +59,33 @@ def knn_join(points: DataFrame, items: DataFrame, k: int, by: list[str], tie: li
         todo, r = todo.join(done, by, "left_anti").checkpoint(), r * 2
 
 
+#: Feature segments that all executors may get as arrays; more are compared as a join.
+MOST_FEATURES = 100_000
+
+
 def feature_distance(points: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
-    """For each point the exact distance to the nearest segment of each kind of feature; features are an airport's few
-    hundred segments, and Spark broadcasts them if they are small."""
-    pairs = points.crossJoin(features.select("kind", "ax", "az", "bx", "bz"))
-    return pairs.groupBy(*by, "kind").agg(F.min(distance_to_segment("x", "z", "ax", "az", "bx", "bz")).alias("distance"))
+    """(by, kind, distance): for each point the exact distance to the nearest segment of each kind of feature."""
+    rows = features.select("kind", "ax", "az", "bx", "bz").limit(MOST_FEATURES + 1).toPandas()
+    if len(rows) > MOST_FEATURES:
+        pairs = points.crossJoin(features.select("kind", "ax", "az", "bx", "bz"))
+        return pairs.groupBy(*by, "kind").agg(F.min(distance_to_segment("x", "z", "ax", "az", "bx", "bz")).alias("distance"))
+    kinds = {k: (g[["ax", "az"]].to_numpy(float), g[["bx", "bz"]].to_numpy(float)) for k, g in rows.groupby("kind")}
+    shared = points.sparkSession.sparkContext.broadcast(kinds)
+
+    def run(batches):
+        made = []
+        for kind, (a, b) in shared.value.items():
+            net = kernels.Network(np.zeros(len(a), int), np.arange(len(a)), a, b, [kind], {})
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            made.append((kind, net, kernels.Grid(low, high, max(1.0, float(np.median(np.ptp(np.stack((low, high)), axis=0).max(axis=1)))))))
+        for batch in batches:
+            p = batch[["x", "z"]].to_numpy(float)
+            for kind, net, grid in made:
+                found = grid.nearest(p, 1, lambda q, items, net=net: net.project(q, np.broadcast_to(items, (len(q), len(items))))[1])
+                yield batch[by].assign(kind=kind, distance=[float(d[0]) for _, d in found])
+
+    types = dict(points.dtypes)
+    return points.select(*by, "x", "z").mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in by) + ", kind string, distance double")
 
 
 def inside(points: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
