@@ -140,14 +140,25 @@ class Grid:
                 if len(items) >= k or enough:
                     for same in np.array_split(todo, max(1, -(-len(todo) * len(items) // self.AT_ONCE))):
                         d = distances(p[same], items) if len(items) else np.empty((len(same), 0))
-                        for near, i in zip(d, same, strict=True):
-                            pick = np.arange(len(near))
-                            if len(near) > k:
-                                pick = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1])
-                            pick = pick[np.argsort(near[pick], kind="stable")][:k]
-                            if enough or (len(pick) == k and near[pick[-1]] <= ring * self.cell):
-                                pick = pick[near[pick] < limit]
-                                out[i] = (items[pick], near[pick])
+                        # rows without a tie at the k-th distance are picked together, by distance and then by item
+                        alone = np.full(len(same), d.shape[1] <= k)
+                        if d.shape[1] > k:
+                            near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                            alone = near.sum(axis=1) == k
+                            at = np.nonzero(near[alone])[1].reshape(-1, k)
+                        else:
+                            at = np.tile(np.arange(d.shape[1]), (len(same), 1))
+                        value = np.take_along_axis(d[alone], at, axis=1)
+                        by = np.argsort(value, axis=1, kind="stable")
+                        picks = zip(same[alone], items[np.take_along_axis(at, by, axis=1)], np.take_along_axis(value, by, axis=1), strict=True)
+                        tied = []
+                        for row in np.flatnonzero(~alone):
+                            pick = np.flatnonzero(near[row])
+                            pick = pick[np.argsort(d[row, pick], kind="stable")][:k]
+                            tied.append((same[row], items[pick], d[row, pick]))
+                        for i, found, dist in [*picks, *tied]:
+                            if enough or (len(found) == k and dist[-1] <= ring * self.cell):
+                                out[i] = (found[dist < limit], dist[dist < limit]) if limit < np.inf else (found, dist)
                             else:
                                 left.append(i)
                     todo = np.array(left, int)
