@@ -204,9 +204,11 @@ def _links(words: int, radius: int):
 def similar_links(classes: DataFrame, words: int = 1, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the rows (rep long, fp array of longs, each once) whose fingerprints are within the radius."""
     keyed = classes.where("rep is not null").select("rep", "fp").mapInArrow(_keyed(words, families(64 * words, radius)), "key bigint, rep bigint, fp array<bigint>")
-    sizes = written(keyed.groupBy("key").count().where("count > 1"), "buckets")
-    blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
-    dealt = keyed.join(sizes, "key").select("key", "rep", "fp", blocks.alias("n"), F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int").alias("own"))
+    # exact families have sparse buckets, of which those with one row are left out; sampled ones mostly have several
+    sparse = radius <= 3
+    sizes = written(keyed.groupBy("key").count().where(F.col("count") > (1 if sparse else block)), "buckets")
+    blocks = F.coalesce(F.ceil(F.col("count") / F.lit(block)).cast("int"), F.lit(1))
+    dealt = keyed.join(sizes, "key", "inner" if sparse else "left").select("key", "rep", "fp", blocks.alias("n"), F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int").alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("key", F.least("own", "other").cast("bigint").alias("lo"), F.greatest("own", "other").cast("bigint").alias("hi"), "rep", "fp")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_links(words, radius), "a bigint, b bigint")
