@@ -11,6 +11,8 @@ import numpy as np
 
 EPS = 1e-12
 FORBIDDEN = -1e18
+#: Steps whose transitions are worked out at a time.
+STEPS = 4096
 # The estimator's constants.
 SIGMA_DIST, SIGMA_DIR, TOP_K, LOW_SPEED, DIR_SIGMA, SIGMA_RESIDUAL = 40.0, 50.0, 8, 3.0, 35.0, 40.0
 MATCH_LIMIT, CANDIDATE_LIMIT, MATCH_SIGMA, DIR_WEIGHT, JUMP = 100.0, 150.0, 20.0, 2.0, 8.0
@@ -44,19 +46,17 @@ def gains(n: int) -> np.ndarray:
 def kalman(x: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:
     """Constant-velocity filter from rest at the first sample; every sample is predicted, then updated."""
     n = len(x)
-    k, out = gains(n), np.empty((n, 2, 2))
-    residual = np.empty((n, 2))
-    state = np.array([[x[0], z[0]], [0.0, 0.0]])
-    seen = np.stack([x, z], axis=1)
-    for i in range(n):
-        place = state[0] + state[1]
-        residual[i] = seen[i] - place
-        state = np.stack([place + k[i, 0] * residual[i], state[1] + k[i, 1] * residual[i]])
-        out[i] = state
-    vx, vz = out[:, 1, 0], out[:, 1, 1]
+    out = np.empty((n, 6))
+    sx, sz, vx, vz = float(x[0]), float(z[0]), 0.0, 0.0
+    for i, ((kp, kv), seen_x, seen_z) in enumerate(zip(gains(n).tolist(), x.tolist(), z.tolist(), strict=True)):
+        ahead_x, ahead_z = sx + vx, sz + vz
+        rx, rz = seen_x - ahead_x, seen_z - ahead_z
+        sx, sz, vx, vz = ahead_x + kp * rx, ahead_z + kp * rz, vx + kv * rx, vz + kv * rz
+        out[i] = sx, sz, vx, vz, rx, rz
+    px, pz, vx, vz, rx, rz = out.T
     return {
-        "kf_x": out[:, 0, 0], "kf_z": out[:, 0, 1], "kf_vx": vx, "kf_vz": vz, "kf_speed": np.hypot(vx, vz),
-        "kf_dir": np.degrees(np.arctan2(vz, vx)) % 360.0, "innovation_residual": np.hypot(residual[:, 0], residual[:, 1]),
+        "kf_x": px, "kf_z": pz, "kf_vx": vx, "kf_vz": vz, "kf_speed": np.hypot(vx, vz),
+        "kf_dir": np.degrees(np.arctan2(vz, vx)) % 360.0, "innovation_residual": np.hypot(rx, rz),
     }
 
 
@@ -75,7 +75,16 @@ class Network:
         self.d = self.b - self.a
         self.d2 = np.maximum((self.d**2).sum(axis=1), EPS)
         self.dir = np.degrees(np.arctan2(self.d[:, 1], self.d[:, 0])) % 360.0
-        self.owners: list[np.ndarray] | None = None
+        moves = sorted((a * len(self.names) + b, p) for (a, b), p in self.transitions.items())
+        self.moves, self.chance = np.array([m for m, _ in moves], np.int64), np.array([p for _, p in moves], float)
+
+    def chances(self, src: np.ndarray, dst: np.ndarray, missing: float = 0.0) -> np.ndarray:
+        """Transition probabilities between paths, element by element."""
+        move = src * len(self.names) + dst
+        if not len(self.moves):
+            return np.full(move.shape, missing)
+        at = np.minimum(np.searchsorted(self.moves, move), len(self.moves) - 1)
+        return np.where(self.moves[at] == move, self.chance[at], missing)
 
     def project(self, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Feet and distances of points (n, 2) on segments at (n, k)."""
@@ -172,28 +181,40 @@ def viterbi(candidates: list[np.ndarray], emission: list[np.ndarray], direction:
     A step needs a transition; the same path with neighbouring segments gains 0.5, turning costs a Gaussian in the
     angle, half of it under LOW_SPEED. Where nothing is reachable the first candidate starts anew. Ties go to the
     earlier candidate."""
-    n = len(candidates)
-    score, back = [np.log(emission[0] + EPS)], [np.full(len(candidates[0]), -1)]
-    for t in range(1, n):
-        i, j = candidates[t - 1], candidates[t]
-        step = np.array([[net.transitions.get((net.path[a], net.path[b]), 0.0) for b in j] for a in i]).reshape(len(i), len(j))
-        turn = -error(direction[t - 1][:, None], direction[t][None, :]) ** 2 / (2 * DIR_SIGMA**2 + EPS)
-        near = (net.path[i][:, None] == net.path[j][None, :]) & (np.abs(net.index[i][:, None] - net.index[j][None, :]) <= 1)
-        own = np.log(emission[t] + EPS)
-        total = score[-1][:, None] + np.log(step + EPS) + own[None, :] + 0.5 * near + turn * (0.5 if speed[t] < LOW_SPEED else 1.0)
-        total = np.where((step > 0) & np.isfinite(score[-1])[:, None], total, -np.inf)
-        best = total.argmax(axis=0) if len(i) else np.zeros(len(j), int)
-        value = total[best, np.arange(len(j))] if len(i) else np.full(len(j), -np.inf)
-        best = np.where(np.isfinite(value), best, -1)
-        if not np.isfinite(value).any():
-            value[0] = own[0]
-        score.append(value)
-        back.append(best)
+    n, sizes = len(candidates), np.array([len(c) for c in candidates])
+    wide = int(sizes.max())
+    there = np.arange(wide) < sizes[:, None]
+
+    def padded(values: list[np.ndarray], dtype=float) -> np.ndarray:
+        out = np.zeros((n, wide), dtype)
+        out[there] = np.concatenate(values)
+        return out
+
+    seg, own, course = padded(candidates, int), np.log(padded(emission) + EPS), padded(direction)
+    score, back, every = np.full((n, wide), -np.inf), np.full((n, wide), -1), np.arange(wide)
+    score[0, there[0]] = own[0, there[0]]
+    for at in range(1, n, STEPS):
+        t = np.arange(at, min(n, at + STEPS))
+        i, j = seg[t - 1][:, :, None], seg[t][:, None, :]
+        step = net.chances(net.path[i], net.path[j])
+        open_ = (step > 0) & there[t - 1][:, :, None] & there[t][:, None, :]
+        moved = np.where(open_, np.log(step + EPS), -np.inf)
+        near = 0.5 * ((net.path[i] == net.path[j]) & (np.abs(net.index[i] - net.index[j]) <= 1))
+        turn = -error(course[t - 1][:, :, None], course[t][:, None, :]) ** 2 / (2 * DIR_SIGMA**2 + EPS)
+        turn *= np.where(speed[t] < LOW_SPEED, 0.5, 1.0)[:, None, None]
+        for k, m, b, c in zip(t, moved, near, turn, strict=True):
+            total = score[k - 1][:, None] + m + own[k] + b + c
+            best = total.argmax(axis=0)
+            value = total[best, every]
+            reached = value > -np.inf
+            if not reached.any():
+                value[0] = own[k, 0]
+            score[k], back[k] = value, np.where(reached, best, -1)
     rank = np.zeros(n, int)
     rank[-1] = int(score[-1].argmax())
     for t in range(n - 2, -1, -1):
-        rank[t] = max(0, back[t + 1][rank[t + 1]])
-    value = np.array([s[r] for s, r in zip(score, rank, strict=True)])
+        rank[t] = max(0, back[t + 1, rank[t + 1]])
+    value = score[np.arange(n), rank]
     return rank, np.where(np.isfinite(value), value, 0.0), np.isfinite(value)
 
 

@@ -91,7 +91,8 @@ def hmm_mm(rows: DataFrame, loaded: Loaded, literal: bool = False) -> DataFrame:
         stay, go = np.log(0.7 + kernels.EPS), np.log(0.3 * np.exp(-30.0 / 300.0) + kernels.EPS)
 
         def step(t, before, now):
-            joined = np.array([[not literal and net.path[a] != net.path[b] and (net.path[a], net.path[b]) in net.transitions for b in now] for a in before])
+            a, b = net.path[before][:, None], net.path[now][None, :]
+            joined = (a != b) & (net.chances(a, b, -1.0) >= 0) & (not literal)
             return np.where(before[:, None] == now[None, :], stay, np.where(joined, go, -np.inf))
 
         seg = np.array([c[r] for c, r in zip(cands, kernels.lattice(cands, emis, step), strict=True)])
@@ -109,8 +110,8 @@ def kf_hmm(rows: DataFrame, loaded: Loaded) -> DataFrame:
         loaded, net = shared.value, shared.value.net
         state, window = kernels.kalman(track["x"].to_numpy(float), track["z"].to_numpy(float)), track["win_dir"].to_numpy(float)
         p = np.stack([state["kf_x"], state["kf_z"]], axis=1)
-        found = ranked_emissions(loaded, p, window, {})
-        cands, emis = [f[0] for f in found], [np.log(f[1] + kernels.EPS) for f in found]
+        cut, segs, e, *_ = ranked_emissions(loaded, p, window, {})
+        cands, emis = np.split(segs, cut[1:-1]), np.split(np.log(e + kernels.EPS), cut[1:-1])
 
         def step(t, before, now):
             other = np.log(0.2 / max(len(before) - 1, 1) + kernels.EPS)

@@ -23,6 +23,8 @@ from .network import path_direction
 #: Segments and anchors that a network sent to all executors may have.
 MOST_SEGMENTS, MOST_ANCHORS = 1_000_000, 10_000_000
 KNN = 64
+#: Pairs of sample and segment that are weighed at a time.
+PAIRS = 1_000_000
 
 
 @dataclass
@@ -110,31 +112,46 @@ def motion(rows: DataFrame) -> DataFrame:
     return with_reference(grouped(rows, _moved, KF))
 
 
-def _candidates(loaded: Loaded, p: np.ndarray, grids: dict) -> list[np.ndarray]:
-    """Segments that own the KNN nearest anchors, ascending; all segments of a network without anchors."""
+def _candidates(loaded: Loaded, p: np.ndarray, grids: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(sample, segment), ascending, of the segments that own the KNN nearest anchors; all of a network without anchors."""
     if loaded.anchors is None:
-        every = np.arange(len(loaded.net.a))
-        return [every] * len(p)
-    grid = grids.setdefault("anchors", None) or grids.update(anchors=loaded.anchor_grid()) or grids["anchors"]
-    return [np.unique(loaded.owner[i]) for i, _ in grid.nearest(p, KNN, loaded.anchor_distances)]
-
-
-def ranked_emissions(loaded: Loaded, p: np.ndarray, observed: np.ndarray, grids: dict, k: int = kernels.TOP_K) -> list[tuple]:
-    """For each sample its k likeliest candidates: (segments, emission, oriented direction, distance, angle error)."""
-    out, net = [], loaded.net
-    for i, segs in enumerate(_candidates(loaded, p, grids)):
-        dist = net.project(p[i : i + 1], segs[None, :])[1][0]
-        direction = net.dir[segs]
-        if np.isnan(observed[i]):
-            angle = np.zeros(len(segs))
-        else:
-            back = (direction + 180.0) % 360.0
-            ahead, behind = kernels.error(direction, observed[i]), kernels.error(back, observed[i])
-            angle, direction = np.minimum(ahead, behind), np.where(ahead <= behind, direction, back)
+        n = len(loaded.net.a)
+        return np.repeat(np.arange(len(p)), n), np.tile(np.arange(n), len(p))
+    if "anchors" not in grids:
+        grids["anchors"] = loaded.anchor_grid()
+    owners = np.sort(loaded.owner[np.stack([i for i, _ in grids["anchors"].nearest(p, KNN, loaded.anchor_distances)])], axis=1)
+    first = np.ones(owners.shape, bool)
+    first[:, 1:] = owners[:, 1:] != owners[:, :-1]
+    return np.nonzero(first)[0], owners[first]
+
+
+def ranked_emissions(loaded: Loaded, p: np.ndarray, observed: np.ndarray, grids: dict, k: int = kernels.TOP_K) -> tuple[np.ndarray, ...]:
+    """The k likeliest candidates of all samples in a row: (segments, emission, oriented direction, distance, angle error)
+    after the places where samples start, the end included."""
+    net, parts, sizes = loaded.net, [], [np.zeros(1, int)]
+    n = len(net.a)
+    step = max(1, PAIRS // (n if loaded.anchors is None else KNN))
+    for at in range(0, len(p), step):
+        place = p[at : at + step]
+        row, segs = _candidates(loaded, place, grids)
+        seen, direction = observed[at : at + step][row], net.dir[segs]
+        dist = net.project(place[row], segs[:, None])[1][:, 0]
+        back = (direction + 180.0) % 360.0
+        ahead, behind = kernels.error(direction, seen), kernels.error(back, seen)
+        angle = np.where(np.isnan(seen), 0.0, np.minimum(ahead, behind))
+        direction = np.where(ahead > behind, back, direction)
         e = np.exp(-dist * dist / (2 * kernels.SIGMA_DIST**2)) * np.exp(-angle * angle / (2 * kernels.SIGMA_DIR**2))
-        top = np.lexsort((segs, -np.round(e, 12)))[:k]
-        out.append((segs[top], e[top], direction[top], dist[top], angle[top]))
-    return out
+        size = np.round(e, 12)
+        keep = np.arange(len(row))
+        if loaded.anchors is None and n > k:  # only the k largest and their ties are sorted
+            square = size.reshape(-1, n)
+            keep = np.flatnonzero(square >= np.partition(square, n - k, axis=1)[:, n - k : n - k + 1])
+        by = keep[np.lexsort((segs[keep], -size[keep], row[keep]))]
+        top = by[np.arange(len(by)) - np.searchsorted(row[by], row[by]) < k]
+        parts.append([v[top] for v in (segs, e, direction, dist, angle)])
+        sizes.append(np.bincount(row[top], minlength=len(place)))
+    flat = [np.concatenate(v) for v in zip(*parts, strict=True)] if parts else [np.empty(0, int), *(np.empty(0) for _ in range(4))]
+    return np.cumsum(np.concatenate(sizes)), *flat
 
 
 def emission(rows: DataFrame, loaded: Loaded, position=("kf_x", "kf_z"), k: int = kernels.TOP_K) -> DataFrame:
@@ -144,11 +161,9 @@ def emission(rows: DataFrame, loaded: Loaded, position=("kf_x", "kf_z"), k: int
     def run(batches):
         loaded, grids = shared.value, {}
         for b in batches:
-            found = ranked_emissions(loaded, b[list(position)].to_numpy(float), b["observation_dir"].to_numpy(float), grids, k)
-            n = [len(f[0]) for f in found]
-            flat = [np.concatenate([f[j] for f in found]) if found else np.empty(0) for j in range(5)]
-            at = np.repeat(np.arange(len(b)), n)
-            yield pd.DataFrame({"traj_id": b["traj_id"].to_numpy()[at], "seq": b["seq"].to_numpy()[at], "rank": np.concatenate([np.arange(1, m + 1) for m in n]) if n else [], "gid": flat[0].astype(int), "emission": flat[1], "distance": flat[3], "angle_error": flat[4], "segment_dir": flat[2]})
+            cut, segs, e, direction, dist, angle = ranked_emissions(loaded, b[list(position)].to_numpy(float), b["observation_dir"].to_numpy(float), grids, k)
+            at = np.repeat(np.arange(len(b)), np.diff(cut))
+            yield pd.DataFrame({"traj_id": b["traj_id"].to_numpy()[at], "seq": b["seq"].to_numpy()[at], "rank": np.arange(len(at)) - cut[at] + 1, "gid": segs, "emission": e, "distance": dist, "angle_error": angle, "segment_dir": direction})
 
     kind = dict(rows.dtypes)
     return rows.select("traj_id", "seq", *position, "observation_dir").mapInPandas(run, f"traj_id {kind['traj_id']}, seq {kind['seq']}, rank int, gid bigint, emission double, distance double, angle_error double, segment_dir double")
@@ -175,8 +190,9 @@ def anchor_segments(rows: DataFrame, loaded: Loaded, k: int, keep: int) -> DataF
 
 
 CANDIDATE = "array<struct<pathname: string, segment_index: int, segment_dir: double, distance: double, angle_error: double, emission_probability: double>>"
+TOP = "top_path array<string>, top_index array<int>, top_dir array<double>, top_distance array<double>, top_error array<double>, top_emission array<double>"
 DECODED = (
-    f"{KF}, emission_top_candidates {CANDIDATE}, temporal_best_path string, temporal_segment_index int, temporal_dir double, temporal_emission_probability double, "
+    f"{KF}, {TOP}, temporal_best_path string, temporal_segment_index int, temporal_dir double, temporal_emission_probability double, "
     "temporal_log_probability double, seg_ax double, seg_az double, seg_bx double, seg_bz double, topo_weight double, circular_dir double, status string, error string"
 )
 
@@ -193,28 +209,33 @@ def decoded(rows: DataFrame, loaded: Loaded) -> DataFrame:
         try:
             return solve(track)
         except Exception as x:  # the record fails, not the job
-            names = [c.split()[0] for c in DECODED.replace(CANDIDATE, "x").split(", ")]
+            names = [c.split()[0] for c in DECODED.split(", ")]
             return track.assign(**dict.fromkeys(names)).assign(status="failed", error=str(x)[:200])
 
     def solve(track: pd.DataFrame) -> pd.DataFrame:
         loaded = shared.value
         net = loaded.net
         state = kernels.kalman(track["x"].to_numpy(float), track["z"].to_numpy(float))
-        found = ranked_emissions(loaded, np.stack([state["kf_x"], state["kf_z"]], axis=1), track["observation_dir"].to_numpy(float), grids)
-        segs, e, direction = ([f[j] for f in found] for j in range(3))
-        rank, value, _ = kernels.viterbi(segs, e, direction, state["kf_speed"], net)
-        best = np.array([s[r] for s, r in zip(segs, rank, strict=True)])
-        same = [net.path[s] == net.path[b] for s, b in zip(segs, best, strict=True)]
-        mean = [np.degrees(np.arctan2((w * np.sin(np.radians(a))).sum(), (w * np.cos(np.radians(a))).sum())) % 360.0 for w, a in zip(e, direction, strict=True)]
-        lists = [[(net.names[net.path[s]], int(net.index[s]), float(a), float(d), float(g), float(w)) for s, w, a, d, g in zip(*f, strict=True)] for f in found]
+        cut, *flat = ranked_emissions(loaded, np.stack([state["kf_x"], state["kf_z"]], axis=1), track["observation_dir"].to_numpy(float), grids)
+        segs, e, direction, dist, angle = flat
+        rank, value, _ = kernels.viterbi(*(np.split(v, cut[1:-1]) for v in (segs, e, direction)), state["kf_speed"], net)
+        at = cut[:-1] + rank
+        best, row, n = segs[at], np.repeat(np.arange(len(rank)), np.diff(cut)), len(rank)
+        same = net.path[segs] == net.path[best][row]
+        turned = np.radians(direction)
+        mean = np.degrees(np.arctan2(np.bincount(row, e * np.sin(turned), n), np.bincount(row, e * np.cos(turned), n))) % 360.0
+        names = np.array(net.names, object)
+        top = {"top_path": names[net.path[segs]], "top_index": net.index[segs], "top_dir": direction, "top_distance": dist, "top_error": angle, "top_emission": e}
         return track.assign(
-            **state, emission_top_candidates=pd.Series(lists, dtype=object), temporal_best_path=[net.names[i] for i in net.path[best]], temporal_segment_index=net.index[best],
-            temporal_dir=[a[r] for a, r in zip(direction, rank, strict=True)], temporal_emission_probability=[w[r] for w, r in zip(e, rank, strict=True)], temporal_log_probability=value,
+            **state, **{c: pd.Series(np.split(v, cut[1:-1]), dtype=object) for c, v in top.items()}, temporal_best_path=names[net.path[best]], temporal_segment_index=net.index[best],
+            temporal_dir=direction[at], temporal_emission_probability=e[at], temporal_log_probability=value,
             seg_ax=net.a[best, 0], seg_az=net.a[best, 1], seg_bx=net.b[best, 0], seg_bz=net.b[best, 1],
-            topo_weight=[w[m].sum() for w, m in zip(e, same, strict=True)], circular_dir=mean, status="processed", error=None,
+            topo_weight=np.bincount(row, e * same, n), circular_dir=mean, status="processed", error=None,
         )
 
-    return with_reference(grouped(rows, kernel, DECODED))
+    out = grouped(rows, kernel, DECODED)
+    tops = [c.split()[0] for c in TOP.split(", ")]
+    return with_reference(out.withColumn("emission_top_candidates", F.arrays_zip(*tops).cast(CANDIDATE)).drop(*tops))
 
 
 def refined(rows: DataFrame) -> DataFrame:
