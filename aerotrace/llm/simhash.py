@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import written
 from .graph import connected_components
 
@@ -230,9 +231,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Drop near-duplicates: of each group at a shingle similarity of about 0.8 (five words) the smallest id stays.
-
-    Fingerprints have 512 bits. Rows without an id can't be named and stay."""
-    found = simhash_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, 5, WIDE_WORDS, WIDE_RADIUS)
-    drop = found.where("id <> component_id").select(F.col("id").alias(id_col))
+    """Drop near-duplicates: of each group linked by a Jaccard similarity of 0.8 (five-word shingles) the smallest id stays.
+
+    Candidates are the components of fingerprints of 512 bits; every link is verified on the sets of shingles. Rows
+    without an id can't be named and stay."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    found = simhash_components(texts, "id", "text", 5, WIDE_WORDS, WIDE_RADIUS).groupBy("id").agg(F.min("component_id").alias("component"))
+    own = written(texts.select("id", jaccard.node_column(F.col("text")).alias("node")), "near-nodes")
+    classes = written(own.groupBy("node").agg(F.min("id").alias("rep")), "near-classes")
+    candidates = found.withColumnRenamed("id", "rep")
+    drop = jaccard.drop_of(texts, own, classes, candidates).select(F.col("id").alias(id_col))
     return docs.join(drop, id_col, "left_anti").select(docs.columns)

@@ -1,12 +1,13 @@
 """Stages of the corpus pipeline on awkward tables and against plain versions."""
 
+import random
 import re
 
 import pytest
 
 import corpus_pipeline
-from aerotrace.llm import mixing
-from tests.llm.test_operators import AWKWARD, SCHEMA, labelled, near_copies, packed_well, table
+from aerotrace.llm import mixing, simhash
+from tests.llm.test_operators import AWKWARD, SCHEMA, components, labelled, near_copies, packed_well, table
 
 COLUMNS = SCHEMA.replace(",", "").split()[::2]
 
@@ -48,3 +49,35 @@ def test_run(spark, sf):
     assert sum(len(r.text.split()) for r in seen["mixing"]) == pytest.approx(sum(t for t, _ in taken.values()), rel=0.1)
     assert packed_well(seen["packing"], 4096) > 0 and len({(r.doc_id, r.piece) for r in seen["packing"]}) == len({r.doc_id for r in seen["mixing"]})
     assert corpus_pipeline.run(spark, folder).count() == len(seen["packing"])
+
+
+def shingles(text):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def graded(seed, n=40, words=120):
+    """n texts, each with copies in which 1 to 6 words are changed: similarities from 0.5 to 0.95."""
+    rnd, out = random.Random(seed), []
+    for i in range(n):
+        base = [f"t{i}w{rnd.randrange(10**6)}" for _ in range(rnd.choice((9, 30, words)))]
+        out.append(" ".join(base))
+        for k in range(1, 7):
+            w = list(base)
+            for j in rnd.sample(range(len(w)), min(k, len(w))):
+                w[j] = f"x{rnd.randrange(10**6)}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_near_dedup_drops_nothing_below_the_level(spark):
+    texts = graded(1)
+    sets = [shingles(t) for t in texts]
+    root = components(list(range(len(texts))), lambda a, b: similar(sets[a], sets[b]))
+    kept = {r.doc_id for r in simhash.keep_one(table(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)])).collect()}
+    alone = {i for i in root if root[i] == i}
+    assert alone <= kept and len(alone) < len(texts)
