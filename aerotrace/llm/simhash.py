@@ -31,10 +31,6 @@ from .graph import connected_components
 BLOCK = 2048
 #: References of the second set, for the discard step.
 PIVOTS = 16
-#: The pipeline's fingerprints have 512 bits. A Jaccard similarity of 0.8 of two sets of one size is a cosine of 8/9, an
-#: angle of 0.476, that is 77.6 of the bits on average with a deviation of 8.1; unrelated texts differ in 256 with a
-#: deviation of 11. The radius is two deviations above the former.
-WIDE_WORDS, WIDE_RADIUS = 8, 94
 #: Buckets up to so many rows are compared many at a time.
 SMALL = 64
 
@@ -203,7 +199,9 @@ def _links(words: int, radius: int):
 
 
 def similar_links(classes: DataFrame, words: int = 1, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the rows (rep long, fp array of longs, each once) whose fingerprints are within the radius."""
+    """Links (a, b) between the rows (rep long, fp array of longs, each once) whose fingerprints are within the radius.
+
+    Up to a radius of 3 they connect all such rows; beyond it only those that share one of the seeded families' buckets."""
     keyed = classes.where("rep is not null").select("rep", "fp").mapInArrow(_keyed(words, families(64 * words, radius)), "key bigint, rep bigint, fp array<bigint>")
     # exact families have sparse buckets, of which those with one row are left out; sampled ones mostly have several
     sparse = radius <= 3
@@ -233,12 +231,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop near-duplicates: of each group linked by a Jaccard similarity of 0.8 (five-word shingles) the smallest id stays.
 
-    Candidates are the components of fingerprints of 512 bits; every link is verified on the sets of shingles. Rows
-    without an id can't be named and stay."""
+    No link at 0.8 is lost and every link is verified on the sets of shingles. Rows without an id can't be named and
+    stay."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    found = simhash_components(texts, "id", "text", 5, WIDE_WORDS, WIDE_RADIUS).groupBy("id").agg(F.min("component_id").alias("component"))
-    own = written(texts.select("id", jaccard.node_column(F.col("text")).alias("node")), "near-nodes")
-    classes = written(own.groupBy("node").agg(F.min("id").alias("rep")), "near-classes")
-    candidates = found.withColumnRenamed("id", "rep")
-    drop = jaccard.drop_of(texts, own, classes, candidates).select(F.col("id").alias(id_col))
+    drop = jaccard.drop_of(texts, *jaccard.candidates(texts)).select(F.col("id").alias(id_col))
     return docs.join(drop, id_col, "left_anti").select(docs.columns)

@@ -81,3 +81,12 @@ def test_near_dedup_drops_nothing_below_the_level(spark):
     kept = {r.doc_id for r in simhash.keep_one(table(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)])).collect()}
     alone = {i for i in root if root[i] == i}
     assert alone <= kept and len(alone) < len(texts)
+
+
+def test_near_dedup_equals_brute_force(spark):
+    texts = [t for seed in (2, 3) for t in graded(seed, 80)]
+    texts += [t.replace(" ", "  ") for t in texts[:5]] + ["", " ", "one", "one two"]
+    sets = [shingles(t) for t in texts]
+    root = components(list(range(len(texts))), lambda a, b: sets[a] == sets[b] or similar(sets[a], sets[b]))
+    kept = {r.doc_id for r in simhash.keep_one(table(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)])).collect()}
+    assert kept == {i for i in root if root[i] == i}
