@@ -34,6 +34,16 @@ HINT = rf"[@\d]|(?i:password|passwd|pwd|secret|token|key)|(?:{'|'.join(MALE_TITL
 ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "äöüéèêáíóúñçàâîôû", "ÄÖÜÉÈÊÁÍÓÚÑÇÀÂÎÔÛ")
 HEX = "0123456789abcdef"
 ROUNDS = 40
+#: Characters outside ALPHABETS by class, each with what replaces it; scripts without an alphabet of their own get Latin.
+SCRIPTS = (
+    (r"\p{IsHan}", "安白北本长成大东方高光国海和华家江金开来李林明南平青山石水天田文王西新阳一永元云中"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてと"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテト"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조호"), (r"\p{IsArabic}", "ابتثجحخدرزسشصطعفقكلمنهوي"), (r"\p{IsHebrew}", "אבגדהוזחטילמנסעפצקרשת"), (r"[\p{IsArmenian}&&\p{Lu}]", "ԱԲԳԴԵԶԷԹԻԼԽԿՀՁՂՄՅՆՇՈՊՍՎՏՐՑ"),
+    (r"\p{IsArmenian}", "աբգդեզէթիլխկհձղմյնշոպսվտրց"), (r"\p{IsDevanagari}", "अआइकखगघचजटडतदनपबमयरलवसह"), (r"\p{IsThai}", "กขคงจชดตทนบปผพมยรลวสห"), (r"\p{IsGeorgian}", "აბგდევზთიკლმნოპრსტუფქშ"),
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), (r"\p{IsGreek}", "αεηιουωάέήίόύώ"), (r"[\p{IsCyrillic}&&\p{Lu}]", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"), (r"\p{IsCyrillic}", "бвгджзклмнпрстфхцчшщ"),
+    (r"\p{Lu}", "BCDFGHJKLMNPQRSTVWXYZ"), (r"\p{L}", "bcdfghjklmnpqrstvwxyz"), (r"\p{N}", "0123456789"),
+)
+#: From this attempt on a secret gets hexadecimal digits: its own classes have too few values.
+FREE = 4
 
 
 def _type(value: Column) -> Column:
@@ -74,12 +84,16 @@ def _characters(text: Column) -> Column:
 
 
 def _by_class(text: Column, digest: Column, hexadecimal: Column) -> Column:
-    """Every character by another of its class: digit, vowel or consonant of its script and case; others stay."""
+    """Every character by another of its class: digit, vowel or consonant of its script and case.
+
+    Marks, punctuation and symbols stay."""
 
     def swap(c, i):
         out = F.when(hexadecimal & F.lit(HEX).contains(c), F.substr(F.lit(HEX), _number(digest, i) % 16 + 1, F.lit(1)))
         for letters in ALPHABETS:
             out = out.when(F.lit(letters).contains(c), F.substr(F.lit(letters), _number(digest, i) % len(letters) + 1, F.lit(1)))
+        for fits, letters in SCRIPTS:
+            out = out.when(c.rlike(fits), F.substr(F.lit(letters), _number(digest, i) % len(letters) + 1, F.lit(1)))
         return out.otherwise(c)
 
     return F.concat_ws("", F.transform(_characters(text), swap))
@@ -90,7 +104,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), value).cast("binary"), 512)
     kept, rest = _split(kind, value)
     is_hex = (kind == "secret") & rest.rlike("^[0-9a-f]+$")
-    plain = _by_class(rest, digest, is_hex)
+    plain = F.when((kind == "secret") & (attempt >= FREE), F.substr(digest, F.lit(1), F.length(rest))).otherwise(_by_class(rest, digest, is_hex))
     # the top-level domain stays
     domain = F.regexp_extract(value, r"(\.\p{L}{2,})$", 1)
     email = F.concat(_by_class(F.substr(value, F.lit(1), F.length(value) - F.length(domain)), digest, F.lit(False)), domain)
@@ -114,17 +128,26 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", octets)).when(kind == "card", card).when(kind == "name", name).otherwise(changed)
 
 
+def _replaceable(kind: Column, value: Column) -> Column:
+    """Whether the part to replace has a letter or digit; masked passwords, for example, have none."""
+    rest = F.when(kind == "email", F.regexp_replace(value, r"\.\p{L}{2,}$", "")).otherwise(_split(kind, value)[1])
+    return rest.rlike(r"[\p{L}\p{N}]")
+
+
 def dictionary(values: DataFrame, key: str) -> DataFrame:
-    """values (kind, value), each once: adds surrogate, different for different values and no value itself."""
+    """values (kind, value), each once: adds surrogate, different for different values and no value itself.
+
+    A value without a letter or digit to replace ('password: ********') is its own surrogate."""
     spark = values.sparkSession
+    still = values.where(~_replaceable(F.col("kind"), F.col("value"))).select("kind", "value", F.col("value").alias("surrogate"))
     taken = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-    known = written(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "pii-dictionary")
+    known = written(values.where(_replaceable(F.col("kind"), F.col("value"))).withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "pii-dictionary")
     for _ in range(ROUNDS):
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "value"))
         judged = known.withColumn("place", first).join(taken, ["kind", "surrogate"], "left")
         judged = written(judged.select("kind", "value", "attempt", "surrogate", ((F.col("place") > 1) | F.col("real").isNotNull()).alias("again")), "pii-judged")
         if judged.where("again").isEmpty():
-            return judged.select("kind", "value", "surrogate")
+            return judged.select("kind", "value", "surrogate").unionByName(still)
         more = F.col("attempt") + 1
         known = judged.where("NOT again").select("kind", "value", "attempt", "surrogate").unionByName(
             judged.where("again").select("kind", "value", more.alias("attempt"), surrogate(F.col("kind"), F.col("value"), more, key).alias("surrogate"))

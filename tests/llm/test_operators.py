@@ -389,6 +389,15 @@ def test_pii_replaces_consistently(spark):
     assert pii.replace_entities(table(spark, EMPTY), "k").count() == 0
 
 
+def test_pii_takes_masked_values_and_any_script(spark):
+    texts = ["password: ******** here", "token = ========", "password: 密码密码密码", "to 李明@例子.公司 now", "Mr Արամ Խաչատրյան", "Mr. Άννα Ωμέγα", "_@-.de", *(f"pwd: {c}*****" for c in "aeiou")]
+    got = {r.doc_id: r for r in pii.replace_entities(table(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)]), "k").collect()}
+    assert len(got) == len(texts) and all(r.n_entities == 1 for r in got.values())
+    assert {i for i, t in enumerate(texts) if got[i].text == t} == {0, 1, 6} and len({r.text for r in got.values()}) == len(texts)
+    assert not [c for i, part in ((2, "密码"), (3, "李明"), (5, "Ωμέγα"), (4, "Խաչատրյան")) for c in [part] if c in got[i].text]
+    assert re.fullmatch(r"password: [\u4e00-\u9fff]{6}", got[2].text) and got[3].text.endswith(".公司 now")
+
+
 def test_pii_surrogates_keep_type_and_stay_distinct(spark):
     values = [("ip", f"1.2.{i}.{j}") for i in range(1, 10) for j in range(1, 10)] + [("card", "4539578763621486"), ("card", "4539578763621487"), ("name", "Mrs. Maria Lopez"), ("name", "Mr. Karl Lopez"), ("phone", "+1 (415) 555-2671")]
     got = {(r.kind, r.value): r.surrogate for r in pii.dictionary(spark.createDataFrame(values, "kind string, value string"), "k").collect()}
