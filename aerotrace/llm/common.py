@@ -61,3 +61,11 @@ def sampled(labels: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     if n <= bound:
         return labels
     return labels.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+
+
+def bounded(rows: DataFrame, key: str, text: str, chars: int, seed: int) -> DataFrame:
+    """Of a sample's rows about as many as have `chars` characters of text together, chosen by a seeded hash of the key."""
+    n, least = rows.agg(F.sum(F.length(text)), F.min(F.xxhash64(F.col(key), F.lit(seed)))).first()
+    if (n or 0) <= chars:
+        return rows
+    return rows.where((F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * chars / n)) | (F.xxhash64(F.col(key), F.lit(seed)) == least))
