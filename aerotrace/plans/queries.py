@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, geometry
 from ..operators import baselines, estimator, extract, matcher, network, scoring, spatial, windows
+from ..operators.shared import shared_dir
 from .surrogate import WITH, features, net, obs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,19 +361,10 @@ def transition_matrix(spark, d):
 @query(_SPACE + ", reach(pathname, other) AS (SELECT DISTINCT pathname, pathname FROM net UNION SELECT r.pathname, t.dst FROM reach r JOIN total t ON r.other = t.src) SELECT pathname, min(other) AS component FROM reach GROUP BY pathname")
 def connected_components(spark, d):
     paths, *_, total = _edges(spark, d)
-    _checkpoints(spark)
+    shared_dir(spark)
     return network.components(paths, total)
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder where none is set: the cluster's, else (tests) a temporary one."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="aerotrace-"))
-
-
 @query(_SPACE + ", paths AS (SELECT DISTINCT pathname FROM net) SELECT p.pathname, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM total t WHERE t.src = p.pathname), '') AS neighbours FROM paths p")
 def neighbour_lists(spark, d):
     paths, *_, total = _edges(spark, d)
