@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        folder = folder or tempfile.mkdtemp(prefix="aerotrace-")
-        sc.setCheckpointDir(folder)
-    return folder or current.get()
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/aerotrace/{name}-{uuid.uuid4().hex}"
@@ -69,3 +59,8 @@ def bounded(rows: DataFrame, key: str, text: str, chars: int, seed: int) -> Data
     if (n or 0) <= chars:
         return rows
     return rows.where((F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * chars / n)) | (F.xxhash64(F.col(key), F.lit(seed)) == least))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct, so that names of an operator's own can't clash with them; unpack with whole.*"""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))

@@ -34,11 +34,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.deduplicate(documents(spark, sf_dir), dedup.DigestIndex(spark))
+    with dedup.DigestIndex(spark) as index:
+        return dedup.deduplicate_backwards(documents(spark, sf_dir), index)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import written
+from .common import packed, written
 from .graph import connected_components
 
 #: Rows of a bucket that one task compares at a time.
@@ -232,7 +232,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Drop near-duplicates: of each group linked by a Jaccard similarity of 0.8 (five-word shingles) the smallest id stays.
 
     No link at 0.8 is lost and every link is verified on the sets of shingles. Rows without an id can't be named and
-    stay."""
+    stay; null and empty texts have one set, the empty one, and are linked; repeated rows of the smallest id all stay;
+    an empty table gives an empty one. Columns may have any names."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    drop = jaccard.drop_of(texts, *jaccard.candidates(texts)).select(F.col("id").alias(id_col))
-    return docs.join(drop, id_col, "left_anti").select(docs.columns)
+    drop = jaccard.drop_of(texts, *jaccard.candidates(texts)).select("id")
+    return docs.select(packed(docs).alias("whole"), F.col(id_col).cast("bigint").alias("id")).join(drop, "id", "left_anti").select("whole.*")

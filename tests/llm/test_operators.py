@@ -447,12 +447,21 @@ def test_mixing_meets_targets(spark):
 
 def test_seats_are_sainte_lague(spark):
     rnd = random.Random(3)
-    for seats in (0, 1, 17, 400):
-        sizes = [rnd.randint(0, 500) for _ in range(12)]
-        df = spark.createDataFrame([("p", i, s, sum(sizes), seats) for i, s in enumerate(sizes)], "p string, c int, size long, whole long, seats long")
-        got = {r.c: r.won for r in mixing.apportioned(df, ["p"], "c", "size", "whole", "seats", "won").collect()}
-        quotients = sorted(((-s / (2 * k + 1), i, k) for i, s in enumerate(sizes) for k in range(seats)))[:seats]
-        assert got == {i: sum(j == i for _, j, _ in quotients) for i in range(12)}
+    cases = [([rnd.randint(0, 500) for _ in range(12)], seats) for seats in (0, 1, 17, 400)]
+    # uneven: one child that holds nearly all, beside many whose shares are about half a seat
+    cases += [([100_000] + [60] * 250, 1000), ([700] + [5] * 51, 147), ([9] * 40, 3), ([1] + [0] * 5, 4), ([0, 0], 0), ([10**9, 7, 7, 1], 300)]
+    rows = [(str(n), i, s, sum(sizes), seats) for n, (sizes, seats) in enumerate(cases) for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "p string, c int, size long, whole long, seats long")
+    got = {(r.p, r.c): r.won for r in mixing.apportioned(df, ["p"], "c", "size", "whole", "seats", "won").collect()}
+    for n, (sizes, seats) in enumerate(cases):
+        quotients = sorted(((-s / (2 * k + 1), i, k) for i, s in enumerate(sizes) if s for k in range(seats)))[:seats]
+        assert [got[str(n), i] for i in range(len(sizes))] == [sum(j == i for _, j, _ in quotients) for i in range(len(sizes))], n
+
+
+def test_small_sources_are_taken(spark):
+    rows = [(i, " ".join(["w"] * 300), None, f"s{i % 4}", 1) for i in range(40)] + [(100, "just six words are in here", None, "tiny", 1)]
+    got = {r.doc_id: r for r in mixing.mix(table(spark, rows)).collect()}
+    assert 0 < got[100].taken <= 18 and got[100].source == "tiny"
 
 
 def test_mixing_awkward(spark):
@@ -475,6 +484,9 @@ def test_dedup_equals_brute_force(spark):
     kept = [r for r in got if r.kept]
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
     assert dedup.deduplicate(table(spark, EMPTY), dedup.DigestIndex(spark)).count() == 0
+    backwards = dedup.deduplicate_backwards(table(spark, AWKWARD), dedup.DigestIndex(spark)).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in backwards) == want and sum(r.kept for r in backwards) == len(groups)
+    assert dedup.deduplicate_backwards(table(spark, EMPTY), dedup.DigestIndex(spark)).count() == 0
     assert dedup.keep_new(table(spark, AWKWARD), dedup.DigestIndex(spark)).count() == len(groups)
 
 
@@ -489,3 +501,31 @@ def test_digest_index_persists_across_batches(spark, tmp_path):
     assert again.rows().count() == 3
     plan = again.rows().join(spark.createDataFrame([(b"x",)], "digest binary").hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_digest_index_keeps_its_buckets(spark, tmp_path):
+    path, texts = str(tmp_path / "index"), prose(200, 6)
+    rows = [(i, t, None, None, 1) for i, t in enumerate(sorted(set(texts)))]
+    with dedup.DigestIndex(spark, path, 8) as index:
+        assert sum(r.kept for r in dedup.deduplicate(table(spark, rows), index).collect()) == len(rows)
+    for n in (4, 16):
+        with pytest.raises(ValueError, match="8 buckets"):
+            dedup.DigestIndex(spark, path, n)
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            with dedup.DigestIndex(spark, path) as index:
+                assert index.buckets == 8 and not any(r.kept for r in dedup.deduplicate(table(spark, rows), index).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert not [t for t in spark.catalog.listTables() if t.name == index.name]
+
+
+def test_repeated_batch_gives_the_same(spark, tmp_path):
+    with dedup.DigestIndex(spark, str(tmp_path / "index"), 4) as index:
+        one, two = table(spark, [(1, "a", None, None, 1), (2, "b", None, None, 1)]), table(spark, [(3, "b", None, None, 1), (4, "c", None, None, 1)])
+        for _ in range(2):
+            assert {r.doc_id for r in dedup.keep_new(one, index, batch="one").collect()} == {1, 2}
+        for _ in range(2):
+            assert {r.doc_id for r in dedup.keep_new(two, index, batch="two").collect()} == {4}
+        assert index.rows().count() == 3

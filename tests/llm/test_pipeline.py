@@ -23,6 +23,25 @@ def sf(spark, tmp_path_factory):
     return str(folder), rows, {i for i, _, y in labels if y}
 
 
+def test_columns_of_any_name_come_through(spark, sf):
+    """Columns that the stages use inside come back with the user's values."""
+    names = ("__id", "__key", "__copy", "__copies", "__taken", "whole", "again", "n", "digest", "key", "copies", "share", "taken", "component", "node", "a.b")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    rows = [(i, t, None, f"s{i % 3}", 1, *(f"{c}{i}" for c in names)) for i, t in enumerate(near_copies())]
+    docs = spark.createDataFrame(rows, kinds)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf[0])
+        assert out.columns == docs.columns, name
+        assert all(r[5:] == tuple(f"{c}{r[0]}" for c in names) for r in out.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf[0]).count() > 0
+
+
+def test_mixing_keeps_every_source(spark, sf):
+    rows = [(i, " ".join(["w"] * 300), None, f"s{i % 4}", 1) for i in range(40)] + [(100 + i, " ".join(["x"] * 500), None, f"t{i}", 1) for i in range(3)] + [(200, "six words are in this text", None, "u", 1), (201, None, None, None, 1)]
+    out = corpus_pipeline.mixing_stage(spark, table(spark, rows), sf[0]).collect()
+    assert {r.source for r in out} == {r[3] for r in rows}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_awkward_and_empty_tables(spark, sf, k):
     name, stage = corpus_pipeline.STAGES[k]
