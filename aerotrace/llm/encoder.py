@@ -31,7 +31,7 @@ def _byte_letters() -> dict[int, int]:
 class WordEncoder(dict):
     """Maps a word's UTF-8 bytes to its ids as little-endian unsigned 16-bit integers."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:

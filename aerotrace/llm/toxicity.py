@@ -236,7 +236,7 @@ class Scorer:
         if len(low) != len(text):
             text = low
         cache, some = self.cache, set()
-        if len(cache) > 1_000_000:
+        if len(cache) > 300_000:
             cache.clear()
         for w in set(WORDS.findall(low)):
             if w not in cache:
