@@ -300,16 +300,30 @@ def clips(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, clip int, first_frame int, last_frame int, start_ms bigint, end_ms bigint")
 
 
-def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = 256) -> DataFrame:
-    """(doc_id, n_bytes, media): every text's UTF-8 bytes, zero-padded to a positive multiple of 64, as an AVI file."""
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = 256, most: int = 1 << 24) -> DataFrame:
+    """(doc_id, n_bytes, media): every text's UTF-8 bytes, zero-padded to a positive multiple of 64, as an AVI file.
+
+    Null counts as empty; repeated rows stay; other columns are ignored; an empty table gives an empty one. Batches hold
+    at_once files of `most` bytes together at most, or one file of any size that RIFF can have (texts of some 3 GB)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+        ids, sizes, media, held = [], [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
-                raw = [(x.as_py() or "").encode("utf-8", "replace") for x in part.column("text")]
-                media = [encode_payload(x + b"\0" * ((-len(x)) % UNIT if x else UNIT)) for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "replace")
+                one = encode_payload(raw + b"\0" * ((-len(raw)) % UNIT if raw else UNIT))
+                if ids and (len(ids) == at_once or held + len(one) > most):
+                    yield done()
+                    ids, sizes, media, held = [], [], [], 0
+                ids.append(key)
+                sizes.append(len(raw))
+                media.append(one)
+                held += len(one)
+        if ids:
+            yield done()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled
+from .common import bounded, fold, sampled
 
 #: Hash buckets of n-grams of 1 to ORDERS characters.
 BUCKETS, ORDERS = 1 << 16, 3
 #: Rows that the weights are trained on, at most about so many; rounds over them.
 TRAIN_ROWS, EPOCHS = 6000, 2
+#: Characters that the sample has at most about, beside one text of any length.
+TRAIN_CHARS = 60_000_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 
 
@@ -146,7 +148,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def train(labelled: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     """labelled (doc_id, text, lang), without nulls in text and lang. No rows give a model that says und."""
     df, total = document_frequencies(labelled)
-    rows = sorted((lang, text) for text, lang in sampled(labelled, "doc_id", bound, 31).select("text", "lang").collect() if has_letter(text))
+    rows = sorted((lang, text) for text, lang in bounded(sampled(labelled, "doc_id", bound, 31), "doc_id", "text", TRAIN_CHARS, 37).select("text", "lang").collect() if has_letter(text))
     languages = sorted({lang for lang, _ in rows})
     model = Model(languages, np.log((1 + total) / (1 + df)) + 1, np.zeros((BUCKETS, len(languages))))
     x, y = [model.features(t) for _, t in rows], np.array([languages.index(lang) for lang, _ in rows])
@@ -174,7 +176,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score) for every row of docs.
 
     Learns from rows with text, lang and an id whose crc32 modulo 4 isn't 2; rows with a null id are held out. Null
-    texts and those without a letter are und with score 0. Repeated rows stay; an empty table gives an empty one."""
+    texts and those without a letter are und with score 0. Repeated rows stay; other columns are ignored; an empty table
+    gives an empty one."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True))
     model = train(rows.where(~held & F.col("text").isNotNull() & F.col("lang").isNotNull()), bound)

@@ -136,6 +136,8 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
 
 
 def packed_documents(docs: DataFrame, end_id: int = 1, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """All documents packed; null and empty texts are pieces of end_id alone."""
-    pieces = written(token_pieces(docs, end_id, capacity, path), "pieces")
-    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """All documents packed; null and empty texts are pieces of end_id alone. Repeated rows and null ids have places of
+    their own; other columns are ignored; an empty table gives an empty one."""
+    # equal rows, of null ids say, are told apart by their place, so that no salt is hot
+    pieces = written(token_pieces(docs, end_id, capacity, path).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(pieces, ["doc_id", "piece", "ids_crc32", "row"], capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

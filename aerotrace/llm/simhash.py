@@ -33,6 +33,8 @@ BLOCK = 2048
 PIVOTS = 16
 #: Buckets up to so many rows are compared many at a time.
 SMALL = 64
+#: Rows that a task remembers to be connected; beyond that it may say a link again.
+KNOWN = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> np.ndarray:
@@ -171,6 +173,8 @@ def _links(words: int, radius: int):
             return x
 
         new = []
+        if len(joined) > KNOWN:
+            joined.clear()
         for a, b in np.concatenate(found).tolist() if found else []:
             if (x := root(a)) != (y := root(b)):  # what the task knows to be connected isn't said again
                 joined[max(x, y)] = min(x, y)

@@ -78,8 +78,9 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int, path: str | None = N
         else:
             fs.delete_file(mark)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    done = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, "part bigint, n_ids bigint, n_docs bigint")
+    # ranges are cut between rows of one id as well (of null ids, say), so no id is one task's
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    done = rows.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").select("id", "text").mapInArrow(run, "part bigint, n_ids bigint, n_docs bigint")
     # three numbers for each file
     out, base = [], 0
     for part, n_ids, n_docs in sorted(map(tuple, done.collect())):

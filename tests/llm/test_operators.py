@@ -640,3 +640,39 @@ def test_repeated_batch_gives_the_same(spark, tmp_path):
         for _ in range(2):
             assert {r.doc_id for r in dedup.keep_new(two, index, batch="two").collect()} == {4}
         assert index.rows().count() == 3
+
+
+def test_rows_of_one_id_are_several_tasks(spark, tmp_path):
+    """Null ids and repeated rows, a third of all or more, are cut into several parts of the token files."""
+    rows = [(None, "the same text", None, None, 1)] * 300 + [(5, "another text", None, None, 1)] * 300
+    folder = str(tmp_path / "tokens")
+    parts = tokens.write_tokens(table(spark, rows), folder, 2, parts=8)
+    assert len(parts) > 4 and max(n for *_, n in parts) < 300
+    assert tokens.read_tokens(spark, folder, parts).count() == 600
+
+
+def test_misspelt_terms_raise_the_score(spark):
+    rnd, docs, labels = random.Random(2), [], []
+    for i, t in enumerate(prose(400, 12)):
+        bad = i % 4 == 0
+        words = t.split()
+        if bad:
+            for w in ("vermintrash", "worthless", "blockhead"):
+                words.insert(rnd.randrange(len(words)), w)
+        docs.append((" ".join(words), int(bad)))
+        labels.append(int(bad))
+    scorer = toxicity.Scorer(*toxicity.learn_lexicon(docs), [t for t, y in docs if not y])
+    assert {"vermintrash", "worthless", "blockhead"} <= scorer.words
+    scorer.fit(docs)
+    assert (scorer.weights[1:] >= 0).all()
+    plain, exact, misspelt, quoted = (scorer.score(t) for t in ("mere plain words here", "they are a worthless blockhead", "they are a worthlass blokhead", 'he wrote "worthless blockhead" there'))
+    assert plain <= quoted < misspelt <= exact and misspelt > 0.7 and exact - misspelt < 0.1 and quoted < 0.7
+    # an ordinary word that is as close to a term is no misspelling, and makes others less likely to be one
+    wary = toxicity.Scorer(scorer.words, scorer.stems, ["blackhead blockheed", "plain"])
+    assert wary.match("blackhead") is None and wary.match("blockhad") == ("blockhead", 1, 1 / 3) and wary.match("blockhead") == ("blockhead", 0, 1.0)
+
+
+def test_stems_take_an_edit():
+    a = toxicity.Automaton(frozenset({"worthless"}), frozenset({"vermin"}))
+    assert a.match("verminous") == ("vermin", 0) and a.match("vermminous") == ("vermin", 1) and a.match("wermin") == ("vermin", 1) and a.match("vrmn") is None
+    assert a.match("worthles") == ("worthless", 1) and a.match("worthess") == ("worthless", 1) and a.match("wrthles") == ("worthless", 2)
