@@ -33,14 +33,22 @@ def half_open(a):
     return np.where(a == -180.0, 180.0, a)
 
 
-def gains(n: int) -> np.ndarray:
-    """Position and velocity gain of the constant-velocity filter at each step; the axes share them."""
-    p11, p12, p22, out = 500.0, 0.0, 500.0, np.empty((n, 2))
-    for i in range(n):
+#: Gains so far, and the covariance after them.
+_GAINS: list[tuple[float, float]] = []
+_COVARIANCE = [500.0, 0.0, 500.0]
+
+
+def gains(n: int) -> list[tuple[float, float]]:
+    """Position and velocity gain of the constant-velocity filter at each step; the axes share them. They don't depend
+    on the data, so all tracks share what was worked out."""
+    p11, p12, p22 = _COVARIANCE
+    while len(_GAINS) < n:
         a, b, d = p11 + 2 * p12 + p22 + 0.1, p12 + p22, p22 + 1.0
-        out[i] = kp, kv = a / (a + 5.0), b / (a + 5.0)
+        kp, kv = a / (a + 5.0), b / (a + 5.0)
         p11, p12, p22 = (1 - kp) * a, (1 - kp) * b, d - kv * b
-    return out
+        _GAINS.append((kp, kv))
+    _COVARIANCE[:] = p11, p12, p22
+    return _GAINS[:n]
 
 
 def kalman(x: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:
@@ -48,7 +56,7 @@ def kalman(x: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:
     n = len(x)
     out = np.empty((n, 6))
     sx, sz, vx, vz = float(x[0]), float(z[0]), 0.0, 0.0
-    for i, ((kp, kv), seen_x, seen_z) in enumerate(zip(gains(n).tolist(), x.tolist(), z.tolist(), strict=True)):
+    for i, ((kp, kv), seen_x, seen_z) in enumerate(zip(gains(n), x.tolist(), z.tolist(), strict=True)):
         ahead_x, ahead_z = sx + vx, sz + vz
         rx, rz = seen_x - ahead_x, seen_z - ahead_z
         sx, sz, vx, vz = ahead_x + kp * rx, ahead_z + kp * rz, vx + kv * rx, vz + kv * rz
@@ -218,11 +226,39 @@ def viterbi(candidates: list[np.ndarray], emission: list[np.ndarray], direction:
     return rank, np.where(np.isfinite(value), value, 0.0), np.isfinite(value)
 
 
-def matcher_viterbi(candidates: list[np.ndarray], distance: list[np.ndarray], window: np.ndarray, course: np.ndarray, adjacent: set[tuple[int, int]]) -> np.ndarray:
+def clusters(points: np.ndarray, radius: float) -> np.ndarray:
+    """The smallest number of a point that each point is connected to by steps of at most `radius`."""
+    label = np.arange(len(points))
+    if not len(points):
+        return label
+    cell = np.floor(points / radius).astype(np.int64)
+    cell -= cell.min(axis=0) - 1
+    wide = int(cell[:, 1].max()) + 2
+    key = cell[:, 0] * wide + cell[:, 1]
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    # half of the neighbouring cells, as pairs go both ways
+    for step in (0, 1, wide - 1, wide, wide + 1):
+        low, high = (np.searchsorted(ranked, key + step, side) for side in ("left", "right"))
+        for at in range(0, len(points), 4096):
+            n = (high - low)[at : at + 4096]
+            i = np.repeat(np.arange(at, at + len(n)), n)
+            j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at : at + 4096], n)]
+            near = np.hypot(*(points[i] - points[j]).T) <= radius
+            i, j = i[near], j[near]
+            while ((a := label[i]) != (b := label[j])).any():
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label = label[label]
+    return label
+
+
+def matcher_viterbi(candidates: list[np.ndarray], distance: list[np.ndarray], window: np.ndarray, course: np.ndarray, cluster: np.ndarray) -> np.ndarray:
     """Best segment at every sample, -1 without candidates. Blocks of samples with candidates are decoded on their own.
 
     Emission: -d^2 / 2 sigma^2, and DIR_WEIGHT times |cos| of the angle to the segment's course where there is a
-    direction. Jumps between segments that don't touch cost JUMP."""
+    direction. Jumps between segments that don't touch cost JUMP; those touch of whose two ends (cluster: a row each)
+    one is in one cluster."""
     out = np.full(len(candidates), -1)
     t = 0
     while t < len(candidates):
@@ -241,7 +277,8 @@ def matcher_viterbi(candidates: list[np.ndarray], distance: list[np.ndarray], wi
                 score, pointer = own, np.full(len(own), -1)
             else:
                 before, now = candidates[k - 1], candidates[k]
-                step = np.array([[0.0 if a == b or (a, b) in adjacent else -JUMP for b in now] for a in before])
+                touch = (cluster[before][:, None, :, None] == cluster[now][None, :, None, :]).any(axis=(2, 3))
+                step = np.where(touch | (before[:, None] == now[None, :]), 0.0, -JUMP)
                 total = score[:, None] + step
                 pointer = total.argmax(axis=0)
                 score = total[pointer, np.arange(len(now))] + own

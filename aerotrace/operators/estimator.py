@@ -2,7 +2,8 @@
 
 A map network is small (an airport's is some MB) and goes to the executors as arrays, once, after its size has been
 checked; trajectories are shuffled once, by id, and the recurrences run over each in NumPy. A network beyond the
-bound is joined by grid cells instead (spatial.knn_join).
+bound stays a table: candidates come from joins by grid cells, and each track gets the transitions between its own
+candidates' paths only. network_of() picks one of the two; the results are the same.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.angles import angle_error, circular_mean, facing
-from ..functions.geometry import clip, project_soft
+from ..functions.angles import angle_error, axis_error, bearing360, circular_mean, facing, gaussian
+from ..functions.geometry import clip, distance_to_segment, project_soft
 from . import windows
 from .network import path_direction
+from .spatial import knn_join, top_k
 
 #: Segments and anchors that a network sent to all executors may have.
 MOST_SEGMENTS, MOST_ANCHORS = 1_000_000, 10_000_000
@@ -57,10 +59,10 @@ class Loaded:
 def load_network(net: DataFrame, transitions: DataFrame | None = None, anchor_points: DataFrame | None = None) -> Loaded:
     """net (pathname, path_no, seg_idx, ax, az, bx, bz), transitions (src, dst, p), anchors (pathname, seg_idx, x, z).
 
-    Segments are numbered by path and index. ValueError beyond the bound."""
+    Segments are numbered by path and index. ValueError beyond the bound: use network_of()."""
     rows = net.select("pathname", "path_no", "seg_idx", "ax", "az", "bx", "bz").limit(MOST_SEGMENTS + 1).toPandas().sort_values(["path_no", "seg_idx"]).reset_index(drop=True)
     if len(rows) > MOST_SEGMENTS:
-        raise ValueError("too many segments to send to all executors: use spatial.knn_join")
+        raise ValueError("too many segments to send to all executors: use network_of()")
     names = list(dict.fromkeys(rows["pathname"]))
     number = {n: i for i, n in enumerate(names)}
     moves = {}
@@ -72,7 +74,7 @@ def load_network(net: DataFrame, transitions: DataFrame | None = None, anchor_po
     if anchor_points is not None:
         a = anchor_points.select("pathname", "seg_idx", "x", "z", "along").limit(MOST_ANCHORS + 1).toPandas()
         if len(a) > MOST_ANCHORS:
-            raise ValueError("too many anchors to send to all executors: use spatial.knn_join")
+            raise ValueError("too many anchors to send to all executors: use network_of()")
         a = a.sort_values(["pathname", "seg_idx", "along"], kind="stable")
         gid = {(p, s): i for i, (p, s) in enumerate(zip(arrays.path.tolist(), arrays.index.tolist(), strict=True))}
         anchors, owner = a[["x", "z"]].to_numpy(float), np.array([gid[number[p], s] for p, s in zip(a["pathname"], a["seg_idx"], strict=True)], int)
@@ -80,6 +82,22 @@ def load_network(net: DataFrame, transitions: DataFrame | None = None, anchor_po
     return Loaded(arrays, np.arange(len(rows)), anchors, owner, np.array([nd[n] for n in names]))
 
 
+@dataclass
+class Tables:
+    """A network of any size, as load_network() takes it."""
+
+    net: DataFrame
+    transitions: DataFrame
+    anchors: DataFrame
+
+
+def network_of(net: DataFrame, transitions: DataFrame, anchor_points: DataFrame, most_segments: int = MOST_SEGMENTS, most_anchors: int = MOST_ANCHORS) -> Loaded | Tables:
+    """The network as arrays up to the bounds (all pairs of paths may have transitions), else as tables."""
+    if len(net.select("seg_idx").limit(most_segments + 1).collect()) > most_segments or anchor_points.limit(most_anchors + 1).count() > most_anchors or transitions.limit(most_anchors + 1).count() > most_anchors:
+        return Tables(net, transitions, anchor_points)
+    return load_network(net, transitions, anchor_points)
+
+
 def gain_table(spark: SparkSession, n: int) -> DataFrame:
     """Gains of the motion filter by step; they don't depend on the data."""
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(kernels.gains(n))], "i int, kp double, kv double")
@@ -189,6 +207,29 @@ def anchor_segments(rows: DataFrame, loaded: Loaded, k: int, keep: int) -> DataF
     return rows.select("traj_id", "seq", "x", "z").mapInPandas(run, f"traj_id {kind['traj_id']}, seq {kind['seq']}, gid bigint, distance double, rank int")
 
 
+def joined_candidates(rows: DataFrame, network: Tables, position=("kf_x", "kf_z"), k: int = kernels.TOP_K) -> DataFrame:
+    """(traj_id, seq, cands: array of structs by rank) as ranked_emissions() has them, by joins alone."""
+    points = rows.select("traj_id", "seq", F.col(position[0]).alias("x"), F.col(position[1]).alias("z"))
+    x0, x1, z0, z1, n = network.anchors.agg(F.min("x"), F.max("x"), F.min("z"), F.max("z"), F.count("*")).first()
+    p0, p1, q0, q1 = points.agg(F.min("x"), F.max("x"), F.min("z"), F.max("z")).first()
+    if not n or p0 is None:
+        return points.select("traj_id", "seq", F.lit(None).cast(JOINED).alias("cands")).limit(0)
+    cell = max(1.0, 0.5 * (max(1.0, x1 - x0) * max(1.0, z1 - z0) * KNN / n) ** 0.5)
+    reach = float(np.hypot(max(x1, p1) - min(x0, p0), max(z1, q1) - min(z0, q0))) + 1.0
+    near = knn_join(points, network.anchors.select("pathname", "seg_idx", "along", "x", "z"), KNN, ["traj_id", "seq"], ["pathname", "seg_idx", "along"], cell, reach)
+    near = near.select("traj_id", "seq", F.col("r_pathname").alias("pathname"), F.col("r_seg_idx").alias("seg_idx")).distinct()
+    pairs = near.join(network.net.select("pathname", "path_no", "seg_idx", "ax", "az", "bx", "bz"), ["pathname", "seg_idx"])
+    pairs = pairs.join(rows.select("traj_id", "seq", *position, "observation_dir"), ["traj_id", "seq"])
+    direction, seen = bearing360(F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")), F.col("observation_dir")
+    angle, turned = axis_error(direction, seen)
+    pairs = pairs.withColumn("dist", distance_to_segment(*position, "ax", "az", "bx", "bz")).withColumn("angle", F.coalesce(angle, F.lit(0.0))).withColumn("direction", F.when(seen.isNull(), direction).otherwise(turned))
+    pairs = pairs.withColumn("e", gaussian("dist", kernels.SIGMA_DIST) * gaussian("angle", kernels.SIGMA_DIR))
+    best = top_k(pairs, ["traj_id", "seq"], [F.round("e", 12).desc(), "path_no", "seg_idx"], k)
+    names = [c.split(": ")[0] for c in JOINED[len("array<struct<") : -2].split(", ")]
+    return best.groupBy("traj_id", "seq").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("cands"))
+
+
+JOINED = "array<struct<rank: int, pathname: string, path_no: bigint, seg_idx: int, ax: double, az: double, bx: double, bz: double, e: double, direction: double, dist: double, angle: double>>"
 CANDIDATE = "array<struct<pathname: string, segment_index: int, segment_dir: double, distance: double, angle_error: double, emission_probability: double>>"
 TOP = "top_path array<string>, top_index array<int>, top_dir array<double>, top_distance array<double>, top_error array<double>, top_emission array<double>"
 DECODED = (
@@ -197,47 +238,91 @@ DECODED = (
 )
 
 
-def decoded(rows: DataFrame, loaded: Loaded) -> DataFrame:
-    """Motion, candidates and Viterbi of each track in one pass over one shuffle.
-
-    A track that fails keeps its rows, with status failed and the error; no other track is touched."""
-    shared = rows.sparkSession.sparkContext.broadcast(loaded)
-    rows = windows.filled_direction(windows.window_direction(rows))
-    grids: dict = {}
+def _or_failed(solve):
+    """A track that fails keeps its rows, with status failed and the error; no other track is touched."""
 
-    def kernel(track: pd.DataFrame) -> pd.DataFrame:
+    def run(track: pd.DataFrame, *rest) -> pd.DataFrame:
         try:
-            return solve(track)
+            return solve(track, *rest)
         except Exception as x:  # the record fails, not the job
             names = [c.split()[0] for c in DECODED.split(", ")]
             return track.assign(**dict.fromkeys(names)).assign(status="failed", error=str(x)[:200])
 
-    def solve(track: pd.DataFrame) -> pd.DataFrame:
-        loaded = shared.value
-        net = loaded.net
-        state = kernels.kalman(track["x"].to_numpy(float), track["z"].to_numpy(float))
-        cut, *flat = ranked_emissions(loaded, np.stack([state["kf_x"], state["kf_z"]], axis=1), track["observation_dir"].to_numpy(float), grids)
-        segs, e, direction, dist, angle = flat
-        rank, value, _ = kernels.viterbi(*(np.split(v, cut[1:-1]) for v in (segs, e, direction)), state["kf_speed"], net)
-        at = cut[:-1] + rank
-        best, row, n = segs[at], np.repeat(np.arange(len(rank)), np.diff(cut)), len(rank)
-        same = net.path[segs] == net.path[best][row]
-        turned = np.radians(direction)
-        mean = np.degrees(np.arctan2(np.bincount(row, e * np.sin(turned), n), np.bincount(row, e * np.cos(turned), n))) % 360.0
-        names = np.array(net.names, object)
-        top = {"top_path": names[net.path[segs]], "top_index": net.index[segs], "top_dir": direction, "top_distance": dist, "top_error": angle, "top_emission": e}
-        return track.assign(
-            **state, **{c: pd.Series(np.split(v, cut[1:-1]), dtype=object) for c, v in top.items()}, temporal_best_path=names[net.path[best]], temporal_segment_index=net.index[best],
-            temporal_dir=direction[at], temporal_emission_probability=e[at], temporal_log_probability=value,
-            seg_ax=net.a[best, 0], seg_az=net.a[best, 1], seg_bx=net.b[best, 0], seg_bz=net.b[best, 1],
-            topo_weight=np.bincount(row, e * same, n), circular_dir=mean, status="processed", error=None,
-        )
-
-    out = grouped(rows, kernel, DECODED)
+    return run
+
+
+def _with_candidates(out: DataFrame) -> DataFrame:
     tops = [c.split()[0] for c in TOP.split(", ")]
     return with_reference(out.withColumn("emission_top_candidates", F.arrays_zip(*tops).cast(CANDIDATE)).drop(*tops))
 
 
+def _decoded_tables(rows: DataFrame, network: Tables) -> DataFrame:
+    """decoded() over tables: a track meets its candidates, and the transitions between their paths, by joins."""
+    rows = grouped(windows.filled_direction(windows.window_direction(rows)), _moved, KF)
+    cands = joined_candidates(rows, network).checkpoint()
+    paths = cands.select("traj_id", "seq", F.explode(F.array_distinct("cands.pathname")).alias("src"))
+    after = paths.select("traj_id", (F.col("seq") - 1).alias("seq"), F.col("src").alias("dst"))
+    steps = paths.join(after, ["traj_id", "seq"]).select("traj_id", "src", "dst").distinct().join(network.transitions.select("src", "dst", "p"), ["src", "dst"])
+    columns = [f.name for f in rows.schema]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), DECODED.removeprefix(f"{KF}, ")])
+
+    def solve(track: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        lists = [sorted(c, key=lambda s: s["rank"]) for c in track.pop("cands")]
+        segs = sorted({(s["path_no"], s["seg_idx"]): s for c in lists for s in c}.items())
+        names = list(dict.fromkeys(s["pathname"] for _, s in segs))
+        path, number = {n: i for i, n in enumerate(names)}, {key: i for i, (key, _) in enumerate(segs)}
+        ends = np.array([[s["ax"], s["az"], s["bx"], s["bz"]] for _, s in segs], float).reshape(-1, 4)
+        moves = {(path[a], path[b]): p for a, b, p in zip(steps["src"], steps["dst"], steps["p"], strict=True)}
+        net = kernels.Network(np.array([path[s["pathname"]] for _, s in segs]), np.array([s["seg_idx"] for _, s in segs]), ends[:, :2], ends[:, 2:], names, moves)
+        flat = [np.array([s[c] for x in lists for s in x], float) for c in ("e", "direction", "dist", "angle")]
+        at = np.array([number[s["path_no"], s["seg_idx"]] for x in lists for s in x], int)
+        state = {c.split()[0]: track[c.split()[0]].to_numpy(float) for c in KF.split(", ")}
+        return _solved(track, net, state, np.cumsum([0, *map(len, lists)]), at, *flat)
+
+    def run(_, track: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        out = _or_failed(solve)(track.sort_values("seq", ignore_index=True), steps)
+        return out[[*columns, *(c.split()[0] for c in DECODED.removeprefix(f"{KF}, ").split(", "))]]
+
+    tracks = rows.join(cands, ["traj_id", "seq"], "left").groupBy("traj_id").cogroup(steps.groupBy("traj_id"))
+    return _with_candidates(tracks.applyInPandas(run, schema))
+
+
+def _solved(track: pd.DataFrame, net: kernels.Network, state: dict, cut: np.ndarray, segs: np.ndarray, e: np.ndarray, direction: np.ndarray, dist: np.ndarray, angle: np.ndarray) -> pd.DataFrame:
+    """The track with its decoded path; cut and what follows are ranked_emissions()'s."""
+    rank, value, _ = kernels.viterbi(*(np.split(v, cut[1:-1]) for v in (segs, e, direction)), state["kf_speed"], net)
+    at = cut[:-1] + rank
+    best, row, n = segs[at], np.repeat(np.arange(len(rank)), np.diff(cut)), len(rank)
+    same = net.path[segs] == net.path[best][row]
+    turned = np.radians(direction)
+    mean = np.degrees(np.arctan2(np.bincount(row, e * np.sin(turned), n), np.bincount(row, e * np.cos(turned), n))) % 360.0
+    names = np.array(net.names, object)
+    top = {"top_path": names[net.path[segs]], "top_index": net.index[segs], "top_dir": direction, "top_distance": dist, "top_error": angle, "top_emission": e}
+    return track.assign(
+        **state, **{c: pd.Series(np.split(v, cut[1:-1]), dtype=object) for c, v in top.items()}, temporal_best_path=names[net.path[best]], temporal_segment_index=net.index[best],
+        temporal_dir=direction[at], temporal_emission_probability=e[at], temporal_log_probability=value,
+        seg_ax=net.a[best, 0], seg_az=net.a[best, 1], seg_bx=net.b[best, 0], seg_bz=net.b[best, 1],
+        topo_weight=np.bincount(row, e * same, n), circular_dir=mean, status="processed", error=None,
+    )
+
+
+def decoded(rows: DataFrame, loaded: Loaded | Tables) -> DataFrame:
+    """Motion, candidates and Viterbi of each track; over arrays in one pass and one shuffle.
+
+    A track that fails keeps its rows, with status failed and the error; no other track is touched."""
+    if isinstance(loaded, Tables):
+        return _decoded_tables(rows, loaded)
+    shared = rows.sparkSession.sparkContext.broadcast(loaded)
+    rows = windows.filled_direction(windows.window_direction(rows))
+    grids: dict = {}
+
+    def solve(track: pd.DataFrame) -> pd.DataFrame:
+        state = kernels.kalman(track["x"].to_numpy(float), track["z"].to_numpy(float))
+        found = ranked_emissions(shared.value, np.stack([state["kf_x"], state["kf_z"]], axis=1), track["observation_dir"].to_numpy(float), grids)
+        return _solved(track, shared.value.net, state, *found)
+
+    return _with_candidates(grouped(rows, _or_failed(solve), DECODED))
+
+
 def refined(rows: DataFrame) -> DataFrame:
     """Fuses motion and topology: heading, position and path of every sample, as columns and windows only.
 
@@ -267,6 +352,6 @@ def drop_legacy(rows: DataFrame) -> DataFrame:
     return rows.drop("matched_x", "matched_z", "matched_pathname", "matched_pointname")
 
 
-def run(rows: DataFrame, loaded: Loaded) -> DataFrame:
+def run(rows: DataFrame, loaded: Loaded | Tables) -> DataFrame:
     """Clean, filter, decode, refine, tidy."""
     return windows.drop_missing(rows).transform(decoded, loaded).transform(refined).transform(drop_legacy)

@@ -33,31 +33,12 @@ def nearest_segments(rows: DataFrame, loaded: Loaded, k: int, limit: float) -> D
     return rows.select("traj_id", "seq", "x", "z").mapInPandas(run, f"traj_id {kind['traj_id']}, seq {kind['seq']}, gid bigint, distance double, rank int")
 
 
-def touching(a: np.ndarray, b: np.ndarray, radius: float = 20.0, literal: bool = False) -> set[tuple[int, int]]:
-    """Pairs of segments with ends in one cluster: ends at most `radius` apart are joined, transitively.
+def end_clusters(a: np.ndarray, b: np.ndarray, radius: float = 20.0, literal: bool = False) -> np.ndarray:
+    """The clusters of each segment's two ends: ends at most `radius` apart are joined, transitively.
 
     `literal` reads the stacked ends as if they were interleaved, which scrambles the adjacency."""
-    n = len(a)
-    ends = np.concatenate([a, b])
-    parent = np.arange(2 * n)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    grid = kernels.Grid(ends, ends, radius)
-    cell = np.floor(ends / radius).astype(int)
-    for i in range(2 * n):
-        near = grid.around(*cell[i], 1)
-        for j in near[np.hypot(*(ends[near] - ends[i]).T) <= radius]:
-            x, y = root(i), root(int(j))
-            parent[max(x, y)] = min(x, y)
-    members: dict[int, set[int]] = {}
-    for s in range(n):
-        for e in (2 * s, 2 * s + 1) if literal else (s, n + s):
-            members.setdefault(root(e), set()).add(s)
-    return {(x, y) for m in members.values() for x in m for y in m if x != y}
+    label = kernels.clusters(np.concatenate([a, b]), radius)
+    return label.reshape(-1, 2) if literal else label.reshape(2, -1).T
 
 
 def map_match(rows: DataFrame, net: DataFrame, literal: bool = False) -> DataFrame:
@@ -66,7 +47,7 @@ def map_match(rows: DataFrame, net: DataFrame, literal: bool = False) -> DataFra
     Missing positions count as (0, 0); tracks under three samples get nulls."""
     n = with_neighbours(net).select("path_no", "seg_idx", "course", "prev_dx", "prev_dz", "next_dx", "next_dz").toPandas().sort_values(["path_no", "seg_idx"])
     loaded = load_network(net)
-    shared = rows.sparkSession.sparkContext.broadcast((loaded, n["course"].to_numpy(float), n[["prev_dx", "prev_dz"]].to_numpy(float), n[["next_dx", "next_dz"]].to_numpy(float), touching(loaded.net.a, loaded.net.b, literal=literal)))
+    shared = rows.sparkSession.sparkContext.broadcast((loaded, n["course"].to_numpy(float), n[["prev_dx", "prev_dz"]].to_numpy(float), n[["next_dx", "next_dz"]].to_numpy(float), end_clusters(loaded.net.a, loaded.net.b, literal=literal)))
     rows = rows.withColumn("x", F.coalesce("x", F.lit(0.0))).withColumn("z", F.coalesce("z", F.lit(0.0)))
     rows = windows.central_direction(windows.window_direction(rows, 20, signed=True, out="win20"))
     grids: dict = {}
@@ -74,14 +55,14 @@ def map_match(rows: DataFrame, net: DataFrame, literal: bool = False) -> DataFra
     def kernel(track: pd.DataFrame) -> pd.DataFrame:
         if len(track) < 3:
             return track.assign(angle_self_new=None, angle_graph_new=None, graph_match_dist=None, graph_seg_idx=None)
-        loaded, course, before, after, adjacent = shared.value
+        loaded, course, before, after, cluster = shared.value
         net = loaded.net
         if "segments" not in grids:
             grids["segments"] = loaded.segment_grid()
         p = track[["x", "z"]].to_numpy(float)
         window, clean = track["win20"].to_numpy(float), track["clean_dir"].to_numpy(float)
         found = grids["segments"].nearest(p, kernels.TOP_K, loaded.segment_distances, kernels.CANDIDATE_LIMIT)
-        seg = kernels.matcher_viterbi([f[0] for f in found], [f[1] for f in found], window, course, adjacent)
+        seg = kernels.matcher_viterbi([f[0] for f in found], [f[1] for f in found], window, course, cluster)
         dist = np.array([f[1][f[0] == s][0] if s >= 0 else np.inf for f, s in zip(found, seg, strict=True)])
         at = np.maximum(seg, 0)
         t = np.clip(((p - net.a[at]) * net.d[at]).sum(axis=1) / net.d2[at], 0.0, 1.0)

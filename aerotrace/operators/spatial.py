@@ -46,11 +46,12 @@ def top_k(pairs: DataFrame, by: list[str], order: list[Column | str], k: int, ou
 def knn_join(points: DataFrame, items: DataFrame, k: int, by: list[str], tie: list[str], cell: float, reach: float) -> DataFrame:
     """The k nearest items (x, z) of each point, by doubling the radius until the k-th neighbour is inside it.
 
-    For networks too large to broadcast. Points without k items within `reach` keep those they have there."""
+    For networks too large to broadcast. Points without k items within `reach` keep those they have there. Ties at nine
+    places go by `tie`."""
     todo, out, r = points, None, cell
     while True:
         last = r >= reach
-        ranked = top_k(radius_join(todo, items, min(r, reach)), by, ["distance", *(f"r_{t}" for t in tie)], k)
+        ranked = top_k(radius_join(todo, items, min(r, reach)), by, [F.round("distance", 9), *(f"r_{t}" for t in tie)], k)
         done = ranked.groupBy(*by).agg(F.count("*").alias("__n")).where(F.lit(last) | (F.col("__n") >= k)).select(*by)
         found = ranked.join(done, by)
         out = found if out is None else out.unionByName(found)
@@ -63,12 +64,36 @@ def knn_join(points: DataFrame, items: DataFrame, k: int, by: list[str], tie: li
 MOST_FEATURES = 100_000
 
 
-def feature_distance(points: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
-    """(by, kind, distance): for each point the exact distance to the nearest segment of each kind of feature."""
-    rows = features.select("kind", "ax", "az", "bx", "bz").limit(MOST_FEATURES + 1).toPandas()
-    if len(rows) > MOST_FEATURES:
-        pairs = points.crossJoin(features.select("kind", "ax", "az", "bx", "bz"))
-        return pairs.groupBy(*by, "kind").agg(F.min(distance_to_segment("x", "z", "ax", "az", "bx", "bz")).alias("distance"))
+def _joined_feature_distance(points: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
+    """feature_distance() by cells: the radius doubles until every kind is found within it, which makes it the nearest."""
+    features = features.select("kind", "ax", "az", "bx", "bz")
+    box = [f(e) for e in (F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("az", "bz"), F.greatest("az", "bz")) for f in (F.min, F.max)]
+    wide = F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("bz") - F.col("az"))))
+    kinds, r, x0, _, _, x1, z0, _, _, z1 = features.agg(F.countDistinct("kind"), wide, *box).first()
+    ends = points.agg(F.min("x"), F.max("x"), F.min("z"), F.max("z")).first()
+    if not kinds or ends[0] is None:
+        return points.select(*by, F.lit("").alias("kind"), F.lit(0.0).alias("distance")).limit(0)
+    reach = float(np.hypot(max(x1, ends[1]) - min(x0, ends[0]), max(z1, ends[3]) - min(z0, ends[2]))) + 1.0
+    todo, out, r = points.select(*by, "x", "z"), None, max(1.0, float(r))
+    while True:
+        last = r >= reach
+        near = segment_radius_join(todo, features, min(r, reach), strict=False).groupBy(*by, "kind").agg(F.min("distance").alias("distance"))
+        near = near if last else near.checkpoint()
+        done = near.groupBy(*by).agg(F.count("*").alias("__n")).where(F.lit(last) | (F.col("__n") == kinds)).select(*by)
+        found = near.join(done, by)
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        todo, r = todo.join(done, by, "left_anti").checkpoint(), r * 2
+
+
+def feature_distance(points: DataFrame, features: DataFrame, by: list[str], most: int = MOST_FEATURES) -> DataFrame:
+    """(by, kind, distance): for each point the exact distance to the nearest segment of each kind of feature.
+
+    Up to `most` features go to all executors as arrays; more are joined by cells, with the same result."""
+    rows = features.select("kind", "ax", "az", "bx", "bz").limit(most + 1).toPandas()
+    if len(rows) > most:
+        return _joined_feature_distance(points, features, by)
     kinds = {k: (g[["ax", "az"]].to_numpy(float), g[["bx", "bz"]].to_numpy(float)) for k, g in rows.groupby("kind")}
     shared = points.sparkSession.sparkContext.broadcast(kinds)
 
@@ -93,7 +118,11 @@ def inside(points: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     spans the point's z half-open and crosses to its right."""
     spans = (F.col("az") > F.col("z")) != (F.col("bz") > F.col("z"))
     crosses = F.col("x") < F.col("ax") + (F.col("z") - F.col("az")) * (F.col("bx") - F.col("ax")) / (F.col("bz") - F.col("az"))
-    pairs = points.crossJoin(edges.select("ring", "ax", "az", "bx", "bz").where("az <> bz")).where(spans & crosses)
+    edges = edges.select("ring", "ax", "az", "bx", "bz").where("az <> bz")
+    # an edge spans only points of the bands of z that it runs through
+    band = max(1e-6, edges.agg(F.avg(F.abs(F.col("bz") - F.col("az")))).first()[0] or 1.0)
+    edges = edges.withColumn("__band", F.explode(_cells(F.least("az", "bz"), F.greatest("az", "bz"), band)))
+    pairs = points.withColumn("__band", F.floor(F.col("z") / band)).join(edges, "__band").where(spans & crosses)
     return pairs.groupBy(*by, "ring").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select(*by, "ring")
 
 

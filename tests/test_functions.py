@@ -1,7 +1,9 @@
 """Column functions against hand values, window operators on small tracks."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +104,26 @@ def test_radius_and_knn_joins_equal_brute_force(spark):
 def test_kernel_angles(a, b):
     assert 0 <= kernels.error(a, b) <= 180 and -180 <= kernels.signed(a, b) <= 180
     assert -180 < kernels.half_open(a) <= 180
+
+
+def test_feature_distances_by_arrays_and_by_cells(spark):
+    rnd = random.Random(6)
+    points = spark.createDataFrame([(i, rnd.uniform(-500, 900), rnd.uniform(-300, 300)) for i in range(120)] + [(999, 1e5, 1e5)], "id long, x double, z double")
+    rows = [(rnd.choice("rs"), x := rnd.uniform(0, 500), z := rnd.uniform(-200, 200), x + rnd.uniform(-40, 40), z + rnd.uniform(-40, 40)) for _ in range(60)]
+    features = spark.createDataFrame(rows, "kind string, ax double, az double, bx double, bz double")
+    a, b = ({(r.id, r.kind): r.distance for r in spatial.feature_distance(points, features, ["id"], most).collect()} for most in (100, 10))
+    assert set(a) == set(b) and len(a) == 242 and all(abs(a[k] - b[k]) < 1e-9 * max(1, a[k]) for k in a)
+    assert spatial.feature_distance(points, features.limit(0), ["id"], -1).count() == 0
+
+
+def test_rings_hold_points(spark):
+    """Crossing parity by bands of z, for small and for very wide rings, against the plain rule."""
+    rnd, rings = random.Random(7), {}
+    for n in range(6):
+        x, z, size = rnd.uniform(0, 400), rnd.uniform(0, 400), rnd.choice((5, 40, 900))
+        rings[f"r{n}"] = [(x + size * rnd.uniform(0.4, 1) * math.cos(t), z + size * rnd.uniform(0.4, 1) * math.sin(t)) for t in np.linspace(0, 6.0, 9)]
+    edges = [(k, *a, *b) for k, ring in rings.items() for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    points = [(i, rnd.uniform(-100, 600), rnd.uniform(-100, 600)) for i in range(300)]
+    got = {(r.id, r.ring) for r in spatial.inside(spark.createDataFrame(points, "id long, x double, z double"), spark.createDataFrame(edges, "ring string, ax double, az double, bx double, bz double"), ["id"]).collect()}
+    want = {(i, k) for i, x, z in points for k in rings if sum((az > z) != (bz > z) and x < ax + (z - az) * (bx - ax) / (bz - az) for r, ax, az, bx, bz in edges if r == k) % 2}
+    assert got == want and got
