@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from . import windows
+from . import scoring, windows
 from .estimator import KNN, Loaded, grouped, ranked_emissions, run
 
 EST = "est_x double, est_z double, est_dir double"
@@ -132,6 +132,23 @@ def proposed(rows: DataFrame, loaded: Loaded) -> DataFrame:
 METHODS = {"cvm": cvm, "ekf": ekf, "thmm": thmm, "flight2vec": flight2vec, "hmm_mm": hmm_mm, "kf_hmm": kf_hmm, "proposed": proposed}
 
 
+#: Methods whose errors count only where position and heading are all there.
+JOINT = ("hmm_mm", "kf_hmm")
+
+
+def comparison_errors(estimates: DataFrame, truth: DataFrame, joint: tuple[str, ...] = JOINT) -> DataFrame:
+    """estimates (method, traj_id, seq, est_x, est_z, est_dir), truth (traj_id, seq, flio, x, z, kf_speed, refdir): the
+    errors of tracks that every method answered and that are arrivals or departures, for scoring.table().
+
+    Where the speed is physical and there is a reference; of the joint methods only samples with all three errors."""
+    methods = estimates.select("method").distinct()
+    whole = estimates.groupBy("traj_id").agg(F.countDistinct("method").alias("__m")).join(methods.agg(F.count("*").alias("__all")), F.col("__m") == F.col("__all"), "left_semi").select("traj_id")
+    rows = estimates.join(whole, "traj_id", "left_semi").join(truth.where(F.col("flio").isin("A", "D")), ["traj_id", "seq"])
+    errs = scoring.errors(rows, "est_x", "est_z", "est_dir")
+    counts = ~F.col("method").isin(*joint) | (F.col("ex").isNotNull() & F.col("ez").isNotNull() & F.col("eh").isNotNull())
+    return errs.select("method", "traj_id", "seq", "flio", *(F.when(counts, F.col(e)).alias(e) for e in ("ex", "ez", "eh")))
+
+
 def all_methods(rows: DataFrame, loaded: Loaded, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
     """(method, traj_id, seq, est_x, est_z, est_dir) of the chosen methods."""
     out = None

@@ -9,6 +9,7 @@ candidates' paths only. network_of() picks one of the two; the results are the s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from time import perf_counter
 
 import numpy as np
 import pandas as pd
@@ -323,6 +324,30 @@ def decoded(rows: DataFrame, loaded: Loaded | Tables) -> DataFrame:
     return _with_candidates(grouped(rows, _or_failed(solve), DECODED))
 
 
+def layer_timings(rows: DataFrame, loaded: Loaded) -> DataFrame:
+    """(traj_id, layer, samples, ms): how long each layer takes over each track, one track at a time; see scoring.latency().
+
+    Reading, the windows before and the columns after (refinement, which Spark runs over all tracks at once) aren't in."""
+    shared = rows.sparkSession.sparkContext.broadcast(loaded)
+    rows = windows.filled_direction(windows.window_direction(windows.drop_missing(rows))).select("traj_id", "seq", "x", "z", "observation_dir")
+    grids: dict = {}
+
+    def run(track: pd.DataFrame) -> pd.DataFrame:
+        track = track.sort_values("seq", ignore_index=True)
+        if "anchors" not in grids and shared.value.anchors is not None:
+            grids["anchors"] = shared.value.anchor_grid()
+        at = [perf_counter()]
+        state = kernels.kalman(track["x"].to_numpy(float), track["z"].to_numpy(float))
+        at.append(perf_counter())
+        cut, segs, e, direction, *_ = ranked_emissions(shared.value, np.stack([state["kf_x"], state["kf_z"]], axis=1), track["observation_dir"].to_numpy(float), grids)
+        at.append(perf_counter())
+        kernels.viterbi(*(np.split(v, cut[1:-1]) for v in (segs, e, direction)), state["kf_speed"], shared.value.net)
+        at.append(perf_counter())
+        return pd.DataFrame({"traj_id": track["traj_id"][:1].repeat(3), "layer": ["motion", "likelihood", "inference"], "samples": len(track), "ms": np.diff(at) * 1000.0})
+
+    return rows.groupBy("traj_id").applyInPandas(run, f"traj_id {dict(rows.dtypes)['traj_id']}, layer string, samples bigint, ms double")
+
+
 def refined(rows: DataFrame) -> DataFrame:
     """Fuses motion and topology: heading, position and path of every sample, as columns and windows only.
 

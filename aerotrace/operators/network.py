@@ -158,6 +158,12 @@ def components(paths: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new
 
 
+def largest_components(comps: DataFrame, k: int = 8) -> DataFrame:
+    """(rank, component, paths) of the k components with the most paths, ties to the smaller name: a report."""
+    sizes = comps.groupBy("component").agg(F.count("*").alias("paths")).orderBy(F.desc("paths"), "component").limit(k)
+    return sizes.select(F.row_number().over(Window.orderBy(F.desc("paths"), "component")).alias("rank"), "component", "paths")
+
+
 def neighbour_lists(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(pathname, neighbours sorted), isolated paths with none."""
     lists = edges.groupBy(F.col("src").alias("pathname")).agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
@@ -165,8 +171,10 @@ def neighbour_lists(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def compare(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that differ: keys, status (missing, extra, changed) and the differing columns."""
+    """Rows that differ: keys, status (missing, extra, changed) and the differing columns. Keys are compared as text, as
+    documents have them, so that numbers and their texts are one key."""
     values = [c for c in old.columns if c not in keys]
+    old, new = (df.withColumns({k: F.col(k).cast("string") for k in keys if dict(old.dtypes)[k] != dict(new.dtypes)[k]}) for df in (old, new))
     a = old.select(*keys, F.struct(*values).alias("a"))
     b = new.select(*keys, F.struct(*values).alias("b"))
     both = a.join(b, keys, "full_outer")
@@ -203,11 +211,23 @@ def dangling(way_nodes: DataFrame, source_nodes: DataFrame) -> DataFrame:
 
 
 def named_paths(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
-    """pieces (way, piece), kinds (way, piece, kind): N-0, N-1, ... and R-0, R-1, ... in source order within a class."""
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("way", "piece")) - 1
+    """pieces (way, piece), kinds (way, piece, kind): N-1, N-2, ... and R-1, R-2, ... in source order within a class."""
+    n = F.row_number().over(Window.partitionBy("kind").orderBy("way", "piece"))
     return pieces.select("way", "piece").distinct().join(kinds, ["way", "piece"]).withColumn("pathname", F.concat_ws("-", "kind", n.cast("string")))
 
 
+def numbered_points(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
+    """pieces (way, piece, pos, node): adds pathname and pointname, which counts the points of all paths from 0, straight
+    paths first. Only the paths' sizes are summed in order; points are counted within their path."""
+    sizes = pieces.groupBy("way", "piece").agg(F.count("*").alias("points"))
+    named = named_paths(pieces, kinds).join(sizes, ["way", "piece"])
+    before = Window.orderBy("kind", "way", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("base", F.coalesce(F.sum("points").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("way", "piece").orderBy("pos")) - 1
+    rows = pieces.select("way", "piece", "pos", "node").withColumn("own", own).join(named, ["way", "piece"])
+    return rows.select("way", "piece", "pos", "node", "pathname", (F.col("base") + F.col("own")).alias("pointname"))
+
+
 def junction_numbers(nodes: DataFrame) -> DataFrame:
     """Labels J0, J1, ... from north to south, then west to east, then by node; junctions of one map only."""
     n = F.row_number().over(Window.orderBy(F.desc("lat"), "lon", "node")) - 1

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.angles import bearing360
 from ..functions.geometry import content_digest
 
 PROPERTIES = "x DOUBLE, z DOUBLE, lon DOUBLE, lat DOUBLE, originLon STRING, originLat STRING, angle_self DOUBLE, angle_graph DOUBLE, graph_match_dist DOUBLE, graph_seg_idx INT"
 HEADER = ("cfno", "afn", "flio", "stno", "dapn", "rway", "flid", "starttime", "endtime")
 RECORD = f"{', '.join(f'{c} STRING' for c in HEADER)}, pointcount INT, data ARRAY<STRUCT<time: STRING, properties: STRUCT<{PROPERTIES.replace(' DOUBLE', ': DOUBLE').replace(' STRING', ': STRING').replace(' INT', ': INT')}>>>"
 POINT = "pointname: INT, x: DOUBLE, y: DOUBLE, z: DOUBLE, roa: DOUBLE"
+META = "n_paths: BIGINT, n_nodes: BIGINT, n_segments: BIGINT, n_internal_points: BIGINT, internal_step_m: DOUBLE, adjacency_strict: BIGINT, adjacency_space: BIGINT, adjacency_total: BIGINT, space_R_m: DOUBLE, min_cross_ang: DOUBLE, n_components: BIGINT, max_component: BIGINT, stay_prob: DOUBLE, node_r_m: DOUBLE"
 NETWORK = (
+    f"meta STRUCT<{META}>, path_dict MAP<STRING, STRUCT<start: BIGINT, end: BIGINT>>, segments MAP<STRING, ARRAY<STRUCT<idx: INT, a: ARRAY<DOUBLE>, b: ARRAY<DOUBLE>, len: DOUBLE, dir: DOUBLE>>>, "
     f"paths ARRAY<STRUCT<pathname: STRING, startpoint: STRING, endpoint: STRING, pathLength: DOUBLE, points: ARRAY<STRUCT<{POINT}>>>>, "
     "nodes MAP<STRING, STRUCT<x: DOUBLE, z: DOUBLE, paths: ARRAY<STRING>>>, adjacency MAP<STRING, ARRAY<STRING>>, adjacency_strict MAP<STRING, ARRAY<STRING>>, adjacency_space MAP<STRING, ARRAY<STRING>>, "
     "transition_matrix MAP<STRING, MAP<STRING, DOUBLE>>, internal_points MAP<STRING, ARRAY<ARRAY<DOUBLE>>>"
@@ -85,8 +88,8 @@ def manifest(documents: DataFrame, airport: str, source: str, note: str = "") ->
 
 
 def read_network(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a network document: segments, transitions, anchors, adjacency. Documents with paths only give their
-    segments, with empty tables for the rest: derive these with operators.network."""
+    """Tables of a network document: segments, transitions, anchors, adjacency (in all, strict, space), nodes, path_dict
+    and meta. Documents with paths only give their segments, with empty tables for the rest: see whole_network()."""
     doc = spark.read.schema(NETWORK).option("multiLine", True).json(path)
     points = doc.select(F.posexplode("paths").alias("path_no", "p")).select("path_no", "p.pathname", F.posexplode("p.points").alias("seg_idx", "a"))
     w = Window.partitionBy("pathname").orderBy("seg_idx")
@@ -95,12 +98,30 @@ def read_network(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     moves = doc.select(F.explode("transition_matrix").alias("src", "m")).select("src", F.explode("m").alias("dst", "p"))
     anchors = doc.select(F.explode("internal_points").alias("pathname", "l")).select("pathname", F.explode("l").alias("v"))
     anchors = anchors.select("pathname", F.col("v")[3].cast("int").alias("seg_idx"), F.col("v")[0].alias("x"), F.col("v")[1].alias("z"), F.col("v")[2].alias("along"), F.col("v")[4].alias("t"))
-    edges = doc.select(F.explode("adjacency").alias("src", "l")).select("src", F.explode("l").alias("dst"))
-    return {"segments": segments, "transitions": moves, "anchors": anchors, "adjacency": edges}
+    edges = {name: doc.select(F.explode(name).alias("src", "l")).select("src", F.explode("l").alias("dst")) for name in ("adjacency", "adjacency_strict", "adjacency_space")}
+    nodes = doc.select(F.explode("nodes").alias("node", "v")).select(F.col("node").cast("bigint").alias("node"), "v.x", "v.z", "v.paths")
+    ends = doc.select(F.explode("path_dict").alias("pathname", "v")).select("pathname", "v.start", "v.end")
+    meta = doc.where("meta is not null").select("meta.*")
+    return {"segments": segments, "transitions": moves, "anchors": anchors, **edges, "nodes": nodes, "path_dict": ends, "meta": meta}
 
 
-def network_document(segments: DataFrame, transitions: DataFrame, anchors: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """One row (value): the network as JSON with keys in order. A map of one airport is a few MB."""
+def whole_network(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """read_network(), with what a document of paths only lacks derived from them: adjacency by shared and near ends,
+    transitions and anchors."""
+    from ..operators import network
+
+    out = read_network(spark, path)
+    if not out["transitions"].isEmpty():
+        return out
+    segments = out["segments"]
+    edges = network.legacy_edges(network.path_ends(segments))
+    return out | {"adjacency": edges, "transitions": network.transitions(segments.select("pathname").distinct(), edges), "anchors": network.anchors(segments)}
+
+
+def network_document(segments: DataFrame, transitions: DataFrame, anchors: DataFrame, adjacency: DataFrame, strict: DataFrame | None = None, space: DataFrame | None = None, nodes: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """One row (value): the network as JSON with keys in order. A map of one airport is a few MB.
+
+    nodes as operators.network.greedy_nodes() has them, meta as meta() has it; blocks of tables that aren't given are left out."""
 
     def entries(df: DataFrame, key: str, value) -> DataFrame:
         def by_key(a, b):
@@ -116,8 +137,21 @@ def network_document(segments: DataFrame, transitions: DataFrame, anchors: DataF
     parts = [
         (transitions, "src", F.map_from_entries(F.array_sort(F.collect_list(F.struct("dst", "p")))), "transition_matrix"),
         (anchors, "pathname", F.transform(F.array_sort(F.collect_list(F.struct("along", "x", "z", "seg_idx", "t"))), lambda a: F.array(a["x"], a["z"], a["along"], a["seg_idx"].cast("double"), a["t"])), "internal_points"),
-        (adjacency, "src", F.array_sort(F.collect_set("dst")), "adjacency"),
+        *((df, "src", F.array_sort(F.collect_set("dst")), name) for df, name in ((adjacency, "adjacency"), (strict, "adjacency_strict"), (space, "adjacency_space")) if df is not None),
     ]
+    own = segments.withColumn("dx", F.col("bx") - F.col("ax")).withColumn("dz", F.col("bz") - F.col("az"))
+    two = [F.array(F.bround(f"{e}x", 2), F.bround(f"{e}z", 2)) for e in "ab"]
+    length, direction = F.bround(F.sqrt(F.col("dx") ** 2 + F.col("dz") ** 2), 2), F.bround(bearing360("dx", "dz"), 3)
+    own = own.withColumn("idx", F.row_number().over(Window.partitionBy("pathname").orderBy("seg_idx")) - 1)
+    item = F.struct("idx", two[0].alias("a"), two[1].alias("b"), length.alias("len"), direction.alias("dir"))
+    parts.append((own, "pathname", F.array_sort(F.collect_list(item)), "segments"))
+    if nodes is not None:
+        place = F.struct(F.first("node_x").alias("x"), F.first("node_z").alias("z"), F.transform(F.array_sort(F.collect_list(F.struct("pathname", "side"))), lambda e: e["pathname"]).alias("paths"))
+        parts.append((nodes.withColumn("node", F.col("node").cast("string")), "node", place, "nodes"))
+        sides = F.struct(F.max(F.when(F.col("side") == 0, F.col("node"))).alias("start"), F.max(F.when(F.col("side") == 1, F.col("node"))).alias("end"))
+        parts.append((nodes, "pathname", sides, "path_dict"))
+    if meta is not None:
+        out = out.crossJoin(meta.agg(F.first(F.struct(*meta.columns)).alias("meta")))  # one row each
     for df, key, value, name in parts:
         out = out.crossJoin(entries(df, key, value).withColumnRenamed("m", name))  # one row each
     return out.select(F.to_json(F.struct(*[F.col(c) for c in out.columns])).alias("value"))

@@ -96,6 +96,34 @@ def test_network_document_round_trip(spark, tmp_path):
     assert network.compare(moves, back["transitions"], ["src", "dst"]).isEmpty()
 
 
+def test_whole_network_document(spark, tmp_path):
+    seg = spark.createDataFrame([("N-0", 0, 0, 0.0, 0.0, 10.0, 0.0), ("N-0", 0, 1, 10.0, 0.0, 20.0, 0.0), ("N-1", 1, 0, 20.0, 0.0, 20.0, 9.0)], "pathname string, path_no int, seg_idx int, ax double, az double, bx double, bz double")
+    ends, paths, a = network.path_ends(seg), seg.select("pathname").distinct(), network.anchors(seg)
+    strict = network.strict_edges(network.snapped_nodes(ends))
+    space = network.space_edges(network.segment_ends(seg), strict, network.path_direction(seg))
+    total, nodes = network.total_edges(strict, space), network.greedy_nodes(ends, ["pathname", "side"])
+    meta = network.meta(paths, nodes, seg, a, strict, space, total, network.components(paths, total))
+    doc = records.network_document(seg, network.transitions(paths, total), a, total, strict, space, nodes, meta)
+    value = json.loads(doc.first()[0])
+    assert {"meta", "paths", "path_dict", "nodes", "adjacency", "adjacency_strict", "transition_matrix", "segments", "internal_points"} <= set(value)
+    assert value["segments"]["N-1"] == [{"idx": 0, "a": [20.0, 0.0], "b": [20.0, 9.0], "len": 9.0, "dir": 90.0}] and value["meta"]["n_nodes"] == 3
+    doc.coalesce(1).write.text(str(tmp_path / "net"))
+    back = records.whole_network(spark, str(tmp_path / "net"))
+    assert {(r.pathname, r.start, r.end) for r in back["path_dict"].collect()} == {("N-0", 0, 1), ("N-1", 1, 2)}
+    assert {(r.node, r.x, r.z, tuple(r.paths)) for r in back["nodes"].collect()} == {(0, 0.0, 0.0, ("N-0",)), (1, 20.0, 0.0, ("N-0", "N-1")), (2, 20.0, 9.0, ("N-1",))}
+    assert back["adjacency_strict"].count() == strict.count() == 2 and back["meta"].first().n_segments == 3
+    # a document of paths only
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "net.json").write_text(json.dumps({"paths": value["paths"]}))
+    old = records.whole_network(spark, str(tmp_path / "old"))
+    assert {(r.src, r.dst) for r in old["adjacency"].collect()} == {("N-0", "N-1"), ("N-1", "N-0")} and old["transitions"].count() == 4 and old["anchors"].count() == a.count()
+
+
+def test_compare_takes_keys_of_any_type(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([("1", "x"), ("3", "y")], "k string, v string")
+    assert {(r.k, r.status) for r in network.compare(a, b, ["k"]).collect()} == {("2", "missing"), ("3", "extra")}
+
+
 def test_sqlite_source_prunes_days_and_rows(spark, tmp_path):
     for day in ("20240501", "20240502", "20240503"):
         (tmp_path / day).mkdir()
