@@ -451,13 +451,14 @@ def lattice(candidates: list[np.ndarray], emission: list[np.ndarray], step) -> n
 
 def clustered(points: np.ndarray, radius: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Greedy endpoint clusters in order of arrival: the first stored centre within the radius among the 3 x 3 unit
-    cells, else a new centre, which is stored with two decimals. (cluster of each point, centres)"""
+    cells (of rounded coordinates, column by column), else a new centre, which is stored with two decimals.
+    (cluster of each point, centres)"""
     cells: dict[tuple[int, int], list[int]] = {}
     centres: list[tuple[float, float]] = []
     out = np.empty(len(points), int)
     for i, (x, z) in enumerate(points):
-        cx, cz = int(np.floor(x / radius)), int(np.floor(z / radius))
-        around = sorted(k for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((cx + a, cz + b), ()))
+        cx, cz = int(np.rint(x)), int(np.rint(z))
+        around = [k for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((cx + a, cz + b), ())]
         hit = next((k for k in around if np.hypot(centres[k][0] - x, centres[k][1] - z) <= radius), None)
         if hit is None:
             hit = len(centres)

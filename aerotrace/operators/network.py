@@ -235,14 +235,14 @@ def junction_numbers(nodes: DataFrame) -> DataFrame:
 
 
 def meta(paths: DataFrame, nodes: DataFrame, segments: DataFrame, anchor_points: DataFrame, strict: DataFrame, space: DataFrame, total: DataFrame, comps: DataFrame) -> DataFrame:
-    """One row of counts; pairs count once."""
+    """One row of counts; neighbours count once for each path that has them, so a pair counts twice."""
 
     def one(df, e, name):
         return df.agg(e.alias(name))
 
     sizes = comps.groupBy("component").count()
     parts = [one(paths, F.count("*"), "n_paths"), one(nodes, F.countDistinct("node"), "n_nodes"), one(segments, F.count("*"), "n_segments"), one(anchor_points, F.count("*"), "n_internal_points")]
-    parts += [one(e, F.floor(F.count("*") / 2), n) for e, n in ((strict, "adjacency_strict"), (space, "adjacency_space"), (total, "adjacency_total"))]
+    parts += [one(e, F.count("*"), n) for e, n in ((strict, "adjacency_strict"), (space, "adjacency_space"), (total, "adjacency_total"))]
     parts += [sizes.agg(F.count("*").alias("n_components"), F.max("count").alias("max_component"))]
     out = parts[0]
     for p in parts[1:]:

@@ -54,6 +54,9 @@ def _diff(a: str, b: str) -> str:
     return f"least(abs({a} - {b}), 360.0 - abs({a} - {b}))"
 
 
+_REFDIR = "((coalesce(angle_graph, angle_self, 0.0) % 360) + 360) % 360"
+
+
 # windows over a trajectory
 
 
@@ -316,7 +319,7 @@ strict AS (SELECT DISTINCT a.pathname AS src, b.pathname AS dst FROM nodes a JOI
 _SPACE = _EN + _PATHDIR + """, se AS (SELECT pathname, ax AS x, az AS z FROM net UNION SELECT pathname, bx, bz FROM net), near AS (SELECT DISTINCT a.pathname AS src, b.pathname AS dst FROM se a JOIN se b ON a.pathname < b.pathname AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) <= 30),
 half AS (SELECT n.src, n.dst FROM near n JOIN pd a ON a.pathname = n.src JOIN pd b ON b.pathname = n.dst WHERE NOT EXISTS (SELECT 1 FROM strict s WHERE s.src = n.src AND s.dst = n.dst)
  AND least(abs(a.path_dir - b.path_dir), 360 - abs(a.path_dir - b.path_dir)) >= 20), space AS (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half),
-total AS (SELECT src, dst FROM strict UNION SELECT src, dst FROM space)"""
+total AS MATERIALIZED (SELECT src, dst FROM strict UNION SELECT src, dst FROM space)"""
 
 
 @query(_EN + f" SELECT pathname, side, {_r('x')}, {_r('z')}, node FROM nodes")
@@ -371,13 +374,33 @@ def neighbour_lists(spark, d):
     return network.neighbour_lists(paths, total).select("pathname", F.concat_ws(",", "neighbours").alias("neighbours"))
 
 
-@query(_ANC + _SPACE + """ SELECT (SELECT count(DISTINCT pathname) FROM net) AS n_paths, (SELECT count(DISTINCT node) FROM nodes) AS n_nodes, (SELECT count(*) FROM seg) AS n_segments, (SELECT count(*) FROM anc) AS n_internal_points,
- (SELECT count(*) // 2 FROM strict) AS adjacency_strict, (SELECT count(*) // 2 FROM space) AS adjacency_space, (SELECT count(*) // 2 FROM total) AS adjacency_total""")
+_REACH = _SPACE + """, reach(pathname, other) AS (SELECT DISTINCT pathname, pathname FROM net UNION SELECT r.pathname, t.dst FROM reach r JOIN total t ON r.other = t.src),
+comp AS (SELECT pathname, min(other) AS component FROM reach GROUP BY pathname), sz AS (SELECT component, count(*) AS paths FROM comp GROUP BY component)"""
+
+
+@query(_ANC + _REACH + """ SELECT (SELECT count(DISTINCT pathname) FROM net) AS n_paths, (SELECT count(DISTINCT node) FROM nodes) AS n_nodes, (SELECT count(*) FROM seg) AS n_segments, (SELECT count(*) FROM anc) AS n_internal_points,
+ (SELECT count(*) FROM strict) AS adjacency_strict, (SELECT count(*) FROM space) AS adjacency_space, (SELECT count(*) FROM total) AS adjacency_total, (SELECT count(*) FROM sz) AS n_components, (SELECT max(paths) FROM sz) AS max_component""")
 def network_meta(spark, d):
     n = net(spark, d)
     paths, strict, space, total = _edges(spark, d)
-    comps = paths.withColumn("component", F.col("pathname"))
-    return network.meta(paths, network.snapped_nodes(network.path_ends(n)), network.segments_of(_points(spark, d)), network.anchors(n), strict, space, total, comps).drop("n_components", "max_component")
+    shared_dir(spark)
+    return network.meta(paths, network.snapped_nodes(network.path_ends(n)), network.segments_of(_points(spark, d)), network.anchors(n), strict, space, total, network.components(paths, total))
+
+
+@query(_REACH + " SELECT rank, component, paths FROM (SELECT row_number() OVER (ORDER BY paths DESC, component) AS rank, * FROM sz) q WHERE rank <= 8")
+def largest_components(spark, d):
+    paths, *_, total = _edges(spark, d)
+    shared_dir(spark)
+    return network.largest_components(network.components(paths, total))
+
+
+@query(_EN + """, ends AS (SELECT *, row_number() OVER (ORDER BY pathname, side) AS i, round_even(x, 0) AS kx, round_even(z, 0) AS kz FROM pe),
+greedy(i, node, centres) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS STRUCT(n BIGINT, x DOUBLE, z DOUBLE, kx DOUBLE, kz DOUBLE)[])
+ UNION ALL SELECT i, coalesce(hit, len(centres)), CASE WHEN hit IS NULL THEN list_append(centres, {'n': CAST(len(centres) AS BIGINT), 'x': round(x, 2), 'z': round(z, 2), 'kx': kx, 'kz': kz}) ELSE centres END
+ FROM (SELECT e.*, centres, list_sort(list_transform(list_filter(centres, lambda c: abs(c.kx - e.kx) <= 1 AND abs(c.kz - e.kz) <= 1 AND sqrt((c.x - e.x) ** 2 + (c.z - e.z) ** 2) <= 1), lambda c: {'kx': c.kx, 'kz': c.kz, 'n': c.n}))[1].n AS hit FROM greedy g JOIN ends e ON e.i = g.i + 1) q)
+SELECT pathname, side, node FROM greedy JOIN ends USING (i)""")
+def greedy_nodes(spark, d):
+    return network.greedy_nodes(network.path_ends(net(spark, d)), ["pathname", "side"]).select("pathname", "side", "node")
 
 
 @query(""", m AS (SELECT path_no + CASE WHEN path_no % 11 = 4 THEN 1000000 ELSE 0 END AS path_no, seg_idx, CASE WHEN path_no % 7 = 3 THEN ax + 1 ELSE ax END AS ax, CASE WHEN seg_idx % 6 = 5 THEN az - 2 ELSE az END AS az FROM net),
@@ -411,6 +434,24 @@ def junction_split(spark, d):
     return network.split_at_junctions(_way_nodes(spark, d))
 
 
+_PIECES = _WAYS + """, c AS (SELECT wn.*, ways >= 2 AND pos > min(pos) OVER (PARTITION BY way) AND pos < max(pos) OVER (PARTITION BY way) AS cut FROM wn JOIN uses ON wn.node = uses.node),
+p AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY way ORDER BY pos ROWS UNBOUNDED PRECEDING) AS piece FROM c), pieces AS (SELECT way, CAST(piece AS BIGINT) AS piece, pos, node FROM p UNION ALL SELECT way, CAST(piece - 1 AS BIGINT), pos, node FROM p WHERE cut),
+named AS (SELECT *, kind || '-' || row_number() OVER (PARTITION BY kind ORDER BY way, piece) AS pathname FROM (SELECT DISTINCT way, piece, CASE WHEN way % 3 = 0 THEN 'R' ELSE 'N' END AS kind FROM pieces) q)"""
+
+
+@query(_PIECES + " SELECT p.way, p.piece, p.pos, p.node, pathname, row_number() OVER (ORDER BY kind, p.way, p.piece, p.pos) - 1 AS pointname FROM pieces p JOIN named n ON p.way = n.way AND p.piece = n.piece")
+def path_point_numbers(spark, d):
+    pieces = network.split_at_junctions(_way_nodes(spark, d))
+    kinds = pieces.select("way", "piece").distinct().withColumn("kind", F.when(F.col("way") % 3 == 0, "R").otherwise("N"))
+    return network.numbered_points(pieces, kinds)
+
+
+@query(" SELECT p_partkey AS node, 'J' || (row_number() OVER (ORDER BY p_size DESC, p_partkey % 50, p_partkey) - 1) AS label FROM part")
+def junction_labels(spark, d):
+    nodes = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("lat"), (F.col("p_partkey") % 50).alias("lon"))
+    return network.junction_numbers(nodes).select("node", "label")
+
+
 @query(_WAYS + """, w AS (SELECT o_orderkey AS way, o_custkey AS relation, o_orderstatus = 'F' AS kept FROM orders), r AS (SELECT c_custkey AS relation, c_mktsegment = 'BUILDING' AS kept FROM customer),
 kw AS (SELECT way FROM w WHERE kept UNION SELECT w.way FROM w JOIN r ON w.relation = r.relation AND r.kept), kn AS (SELECT wn.node FROM wn JOIN kw ON wn.way = kw.way UNION SELECT p_partkey FROM part WHERE p_size = 7)
 SELECT 'relation' AS kind, relation AS id FROM r WHERE kept UNION ALL SELECT 'way', way FROM kw UNION ALL SELECT 'node', node FROM kn""")
@@ -446,6 +487,72 @@ def centroid_and_box(spark, d):
     return extract.centroid_box(net(spark, d), 800.0).select(*map(r6, ("x", "z", "x0", "x1", "z0", "z1")))
 
 
+# functions
+
+
+def _pmod(a: str) -> str:
+    return f"((({a}) % 360 + 360) % 360)"
+
+
+_AB = f", ab AS (SELECT *, coalesce(angle_self, 0.0) AS a, coalesce(angle_graph, 0.0) AS b, event_id % 3 + 1.5 AS w FROM obs), ab2 AS (SELECT *, least(abs(a - b) % 360, 360 - abs(a - b) % 360) AS d FROM ab)"
+_SINES = "w * sin(radians(a)) + 2 * sin(radians(b)), w * cos(radians(a)) + 2 * cos(radians(b))"
+
+
+@query(_AB + f""" SELECT traj_id, seq, {_r('d', 'unsigned')}, {_r(_pmod('a - b + 180') + ' - 180', 'signed')}, {_r('CASE WHEN d > 90 THEN 180 - d ELSE d END', 'axis')},
+ {_r(f"CASE WHEN {_diff(_pmod('a'), _pmod('b'))} > 90 THEN {_pmod('a + 180')} ELSE {_pmod('a')} END", 'facing')}, {_r(_pmod(f'degrees(atan2({_SINES}))'), 'mean')} FROM ab2""")
+def angle_functions(spark, d):
+    rows = obs(spark, d).withColumn("a", F.coalesce("angle_self", F.lit(0.0))).withColumn("b", F.coalesce("angle_graph", F.lit(0.0))).withColumn("w", F.col("event_id") % 3 + 1.5)
+    turned = angles.facing(angles.wrap360("a"), angles.wrap360("b"))
+    return rows.select(*KEY, r6(angles.angle_error_any("a", "b"), "unsigned"), r6(angles.signed_difference("a", "b"), "signed"), r6(angles.axis_difference("a", "b"), "axis"), r6(turned, "facing"), r6(angles.circular_mean([("a", "w"), ("b", F.lit(2.0))]), "mean"))
+
+
+@query(f" SELECT traj_id, {_r(_pmod('degrees(atan2(sum((event_id % 7 + 1) * sin(radians(angle_graph))), sum((event_id % 7 + 1) * cos(radians(angle_graph)))))'), 'mean')} FROM obs GROUP BY traj_id")
+def circular_mean_of_track(spark, d):
+    return obs(spark, d).groupBy("traj_id").agg(r6(angles.circular_mean_agg("angle_graph", F.col("event_id") % 7 + 1), "mean"))
+
+
+_FEET = """, on_net AS (SELECT o.*, ax, az, bx, bz, bx - ax AS dx, bz - az AS dz, (x - ax) * (bx - ax) + (z - az) * (bz - az) AS dot, (bx - ax) ** 2 + (bz - az) ** 2 AS d2 FROM obs o JOIN net n ON n.path_no = o.event_id % 25 AND n.seg_idx = o.event_id % 19),
+feet AS (SELECT *, greatest(0.0, least(1.0, dot / (d2 + 1e-6))) AS ts, greatest(0.0, least(1.0, dot / d2)) AS tg FROM on_net)"""
+
+
+@query(_FEET + f" SELECT traj_id, seq, {_r('ax + ts * dx', 'soft_x')}, {_r('az + ts * dz', 'soft_z')}, {_r('CASE WHEN d2 < 1e-9 THEN ax ELSE ax + tg * dx END', 'guarded_x')}, {_r('CASE WHEN d2 < 1e-9 THEN az ELSE az + tg * dz END', 'guarded_z')} FROM feet")
+def projections(spark, d):
+    near = net(spark, d).select("path_no", "seg_idx", "ax", "az", "bx", "bz")
+    o = obs(spark, d)
+    rows = o.join(near, (F.col("path_no") == F.col("event_id") % 25) & (F.col("seg_idx") == F.col("event_id") % 19))
+    ends = ("x", "z", "ax", "az", "bx", "bz")
+    soft, guarded = geometry.project_soft(*ends), geometry.project_guarded(*ends)
+    return rows.select(*KEY, r6(soft[0], "soft_x"), r6(soft[1], "soft_z"), r6(guarded[0], "guarded_x"), r6(guarded[1], "guarded_z"))
+
+
+@query(f""" SELECT traj_id, seq, {_r('0.5 * x - 0.25 * z + 10', 'affine_x')}, {_r('0.25 * x + 0.5 * z - 7', 'affine_z')}, {_r('(x / 1000 - 108) * 111320.0 * cos(radians(34)) / 1000', 'east_km')}, {_r('(z / 1000 - 34) * 110540.0 / 1000', 'north_km')},
+ {_r('CAST(CAST(x * 0.1 AS FLOAT) AS DOUBLE)', 'single')}, {_r('greatest(-50, least(200, x))', 'clipped')}, strftime(make_timestamp((t + 1700000000 + 28800) * 1000000), '%Y-%m-%d %H:%M:%S') AS time, strlen(event_type) AS bytes, left(sha1(event_type), 12) AS digest FROM obs""")
+def plane_and_labels(spark, d):
+    rows = obs(spark, d)
+    a = geometry.affine("x", "z", (0.5, -0.25, 10.0, 0.25, 0.5, -7.0))
+    e = geometry.equidistant(F.col("x") / 1000, F.col("z") / 1000, 108.0, 34.0)
+    size, digest = geometry.content_digest("event_type")
+    return rows.select(*KEY, r6(a[0], "affine_x"), r6(a[1], "affine_z"), r6(e[0] / 1000, "east_km"), r6(e[1] / 1000, "north_km"), r6(geometry.float32(F.col("x") * 0.1), "single"), r6(geometry.clip("x", -50.0, 200.0), "clipped"), geometry.local_time(F.col("t") + 1700000000).alias("time"), size.cast("bigint").alias("bytes"), digest.alias("digest"))
+
+
+@query(", m AS (SELECT *, CAST(CAST(floor(t / 60) AS BIGINT) AS VARCHAR) AS day FROM obs) SELECT day, count(DISTINCT traj_id) AS tracks, count(*) AS points FROM m GROUP BY ROLLUP (day)")
+def daily_totals(spark, d):
+    """Minutes stand for days, as the tracks are shorter than a day."""
+    return extract.daily_totals(obs(spark, d).withColumn("day", F.floor(F.col("t") / 60).cast("string")))
+
+
+@query(f", rw AS (SELECT concat('rw', CAST(path_no AS VARCHAR)) AS name, * FROM features WHERE kind = 'runway'), best AS (SELECT traj_id, name, min({_distance_sql()}) AS distance FROM obs, rw GROUP BY traj_id, name), top AS (SELECT traj_id, min(struct_pack(d := distance, n := name)) AS b FROM best GROUP BY traj_id) SELECT traj_id, CASE WHEN b.d <= 175 THEN b.n ELSE '' END AS name FROM top")
+def nearest_runway(spark, d):
+    runways = features(spark, d).where("kind = 'runway'").select(F.concat(F.lit("rw"), F.col("path_no").cast("string")).alias("name"), "ax", "az", "bx", "bz")
+    return extract.runway_of(obs(spark, d), runways)
+
+
+@query(", raw AS (SELECT traj_id, seq, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(x AS VARCHAR) END AS a, CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS b FROM obs) SELECT traj_id, seq, TRY_CAST(a AS DOUBLE) AS a, TRY_CAST(b AS DOUBLE) AS b FROM raw WHERE TRY_CAST(a AS DOUBLE) IS NOT NULL")
+def tolerant_numbers(spark, d):
+    raw = obs(spark, d).select(*KEY, F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("x").cast("string")).alias("a"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_id").cast("string")).alias("b"))
+    return extract.tolerant(raw, needed=("a",), wanted=("b",))
+
+
 # candidates, matching
 
 _PAIRS = f", gid AS (SELECT *, row_number() OVER (ORDER BY path_no, seg_idx) - 1 AS gid FROM net), pairs AS (SELECT traj_id, seq, x, z, gid, pathname, seg_idx, ax, az, bx, bz, {_distance_sql()} AS distance FROM obs, gid)"
@@ -479,7 +586,19 @@ def emission_topk(spark, d):
     return estimator.emission(rows, estimator.load_network(net(spark, d)), position=("x", "z")).select(*KEY, "rank", "gid", r6("emission"), r6("distance"), r6("angle_error"))
 
 
-@query()
+def _knn_sql(points: str) -> str:
+    """(traj_id, seq, p, s, d): the 64 nearest anchors of each point, by cells where these have enough, else among all."""
+    far = "round(sqrt((o.x - a.x) ** 2 + (o.z - a.z) ** 2), 9)"
+    return f""", acell AS (SELECT pathname, seg_idx, along, x, z, CAST(floor(x / 20) AS BIGINT) AS cx, CAST(floor(z / 20) AS BIGINT) AS cz FROM anc),
+ocell AS (SELECT traj_id, seq, x, z, CAST(floor(x / 20) AS BIGINT) + i AS cx, CAST(floor(z / 20) AS BIGINT) + j AS cz FROM {points}, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j)),
+close AS (SELECT traj_id, seq, min(struct_pack(d := {far}, p := pathname, s := seg_idx, g := along), 64) AS k FROM ocell o JOIN acell a ON o.cx = a.cx AND o.cz = a.cz WHERE {far} <= 20 GROUP BY traj_id, seq),
+rest AS (SELECT * FROM {points} p WHERE NOT EXISTS (SELECT 1 FROM close c WHERE c.traj_id = p.traj_id AND c.seq = p.seq AND len(k) = 64)),
+wide AS (SELECT traj_id, seq, min(struct_pack(d := {far}, p := pathname, s := seg_idx, g := along), 64) AS k FROM rest o, anc a GROUP BY traj_id, seq),
+knn AS (SELECT traj_id, seq, unnest(k) AS k FROM close WHERE len(k) = 64 UNION ALL SELECT traj_id, seq, unnest(k) FROM wide)"""
+
+
+@query(_ANC + _knn_sql("obs") + f""", gid AS (SELECT pathname, seg_idx, row_number() OVER (ORDER BY path_no, seg_idx) - 1 AS gid FROM net), owners AS (SELECT traj_id, seq, gid, min(k.d) AS distance FROM knn JOIN gid ON gid.pathname = k.p AND gid.seg_idx = k.s GROUP BY traj_id, seq, gid)
+SELECT traj_id, seq, gid, {_r('distance')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY distance, gid) AS rank FROM owners) q WHERE rank <= 16""")
 def knn_anchor_segments(spark, d):
     n = net(spark, d)
     return estimator.anchor_segments(obs(spark, d), estimator.load_network(n, anchor_points=network.anchors(n)), 64, 16).select(*KEY, "gid", r6("distance"), "rank")
@@ -512,15 +631,62 @@ def _network(spark, d, anchors: bool = True):
     return estimator.load_network(n, network.transitions(paths, total), network.anchors(n) if anchors else None)
 
 
-@query()
+def _any_network(spark, d):
+    """As arrays, or as tables if it is too large for that."""
+    shared_dir(spark)
+    n = net(spark, d).checkpoint()
+    paths, *_, total = _edges(spark, d)
+    return estimator.network_of(n, network.transitions(paths, total).checkpoint(), network.anchors(n))
+
+
+# Decoding in SQL: scores of a sample's candidates are a list, which one recursion carries along all tracks at once.
+
+_CLEAN = ", clean AS (SELECT * EXCLUDE (seq), row_number() OVER (PARTITION BY traj_id ORDER BY seq) - 1 AS seq FROM obs WHERE origin_lon IS NOT NULL AND origin_lat IS NOT NULL AND NOT (abs(origin_lon) < 1e-9 AND abs(origin_lat) < 1e-9))"
+_SMOOTH = (_FILL + _KF).replace("FROM obs", "FROM clean").replace("JOIN obs o", "JOIN clean o") + f""", kp AS MATERIALIZED (SELECT traj_id, seq, kx AS x, kz AS z, sqrt(vx * vx + vz * vz) AS speed, {_bearing360('vx', 'vz')} AS kf_dir, sqrt(rx * rx + rz * rz) AS residual FROM kf)"""
+_OWNED = f""", numbers AS (SELECT *, row_number() OVER (ORDER BY path_no, seg_idx) - 1 AS gid, {_bearing360('bx - ax', 'bz - az')} AS fwd FROM net),
+owned AS (SELECT DISTINCT k.traj_id, k.seq, n.gid FROM knn k JOIN numbers n ON n.pathname = k.k.p AND n.seg_idx = k.k.s)"""
+_CANDS = _CLEAN + _SMOOTH + _ANC + _knn_sql("kp") + _OWNED + f""", near_segs AS (SELECT o.traj_id, o.seq, n.gid, n.pathname, n.seg_idx, n.ax, n.az, n.bx, n.bz, n.fwd, f.observation_dir AS od, {_distance_sql()} AS distance FROM owned o JOIN numbers n ON n.gid = o.gid JOIN kp p ON p.traj_id = o.traj_id AND p.seq = o.seq JOIN (SELECT traj_id, seq, observation_dir FROM fill) f ON f.traj_id = o.traj_id AND f.seq = o.seq),
+erred AS (SELECT *, CASE WHEN od IS NULL THEN 0 ELSE least({_diff('fwd', 'od')}, {_diff('((fwd + 180) % 360)', 'od')}) END AS err, CASE WHEN od IS NULL OR {_diff('fwd', 'od')} <= {_diff('((fwd + 180) % 360)', 'od')} THEN fwd ELSE (fwd + 180) % 360 END AS dir FROM near_segs),
+weighed AS (SELECT *, exp(-distance * distance / 3200) * exp(-err * err / 5000) AS e FROM erred),
+cand AS MATERIALIZED (SELECT *, ln(e + 1e-12) AS own FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY round(e, 12) DESC, gid) AS r FROM weighed) q WHERE r <= 8)"""
+_MOVES = ", moves AS (SELECT src, dst, (CAST(1 AS DOUBLE) - CAST(0.7 AS DOUBLE)) / count(*) OVER (PARTITION BY src) AS p FROM total UNION ALL SELECT DISTINCT pathname, pathname, CAST(0.7 AS DOUBLE) FROM net)"
+_DECODED = _CANDS + _SPACE + _MOVES + f""", pair AS (SELECT c.traj_id, c.seq, c.r AS j, a.r AS i, ln(m.p + 1e-12) AS m, CASE WHEN c.pathname = a.pathname AND abs(c.seg_idx - a.seg_idx) <= 1 THEN 0.5 ELSE 0.0 END AS near,
+ -(({_diff('a.dir', 'c.dir')}) ** 2) / (2 * 35.0 * 35.0 + 1e-12) * CASE WHEN k.speed < 3 THEN 0.5 ELSE 1.0 END AS turn, c.own FROM cand c JOIN cand a ON a.traj_id = c.traj_id AND a.seq = c.seq - 1 JOIN kp k ON k.traj_id = c.traj_id AND k.seq = c.seq LEFT JOIN moves m ON m.src = a.pathname AND m.dst = c.pathname),
+lists AS (SELECT traj_id, seq, j, list(struct_pack(m := m, near := near, turn := turn, own := own) ORDER BY i) AS l FROM pair GROUP BY traj_id, seq, j),
+steps_in AS MATERIALIZED (SELECT traj_id, seq, list(l ORDER BY j) AS l FROM lists GROUP BY traj_id, seq), owns AS MATERIALIZED (SELECT traj_id, seq, list(own ORDER BY r) AS own FROM cand GROUP BY traj_id, seq),
+vit(traj_id, seq, score, back) AS (SELECT traj_id, seq, own, CAST([] AS BIGINT[]) FROM owns WHERE seq = 0
+ UNION ALL SELECT traj_id, seq, CASE WHEN list_max(list_transform(t, lambda x: list_max(x))) IS NULL THEN list_transform(range(1, len(t) + 1), lambda k: CASE WHEN k = 1 THEN own[1] END) ELSE list_transform(t, lambda x: list_max(x)) END,
+  list_transform(t, lambda x: CAST(coalesce(list_position(x, list_max(x)), 1) AS BIGINT))
+ FROM (SELECT s.traj_id, s.seq, o.own, list_transform(s.l, lambda row: list_transform(range(1, len(row) + 1), lambda i: v.score[i] + row[i].m + row[i].own + row[i].near + row[i].turn)) AS t FROM vit v JOIN steps_in s ON s.traj_id = v.traj_id AND s.seq = v.seq + 1 JOIN owns o ON o.traj_id = s.traj_id AND o.seq = s.seq) q),
+bt(traj_id, seq, r, score) AS (SELECT traj_id, seq, CAST(list_position(score, list_max(score)) AS BIGINT), list_max(score) FROM vit v WHERE seq = (SELECT max(seq) FROM vit w WHERE w.traj_id = v.traj_id)
+ UNION ALL SELECT v.traj_id, v.seq, n.back[b.r], v.score[n.back[b.r]] FROM bt b JOIN vit n ON n.traj_id = b.traj_id AND n.seq = b.seq JOIN vit v ON v.traj_id = b.traj_id AND v.seq = b.seq - 1)"""
+
+
+@query(_DECODED + f" SELECT b.traj_id, b.seq, c.pathname AS temporal_best_path, c.seg_idx AS temporal_segment_index, {_r('coalesce(b.score, 0.0)', 'temporal_log_probability')} FROM bt b JOIN cand c ON c.traj_id = b.traj_id AND c.seq = b.seq AND c.r = b.r")
 def viterbi_path(spark, d):
-    out = estimator.decoded(windows.drop_missing(obs(spark, d)), _network(spark, d))
+    out = estimator.decoded(windows.drop_missing(obs(spark, d)), _any_network(spark, d))
     return out.select(*KEY, "temporal_best_path", "temporal_segment_index", r6("temporal_log_probability"))
 
 
-@query()
+def _facing(a: str, b: str) -> str:
+    return f"CASE WHEN {_diff(a, b)} > 90 THEN ({a} + 180) % 360 ELSE {a} END"
+
+
+_REFINED = _DECODED + f""", best AS (SELECT c.* FROM bt b JOIN cand c ON c.traj_id = b.traj_id AND c.seq = b.seq AND c.r = b.r),
+around AS (SELECT c.traj_id, c.seq, sum(CASE WHEN c.pathname = b.pathname THEN c.e ELSE 0 END) AS topo, {_pmod('degrees(atan2(sum(c.e * sin(radians(c.dir))), sum(c.e * cos(radians(c.dir)))))')} AS circular FROM cand c JOIN best b ON b.traj_id = c.traj_id AND b.seq = c.seq GROUP BY c.traj_id, c.seq),
+fused AS (SELECT b.traj_id, b.seq, b.pathname, b.ax, b.az, b.bx, b.bz, k.x, k.z, k.speed, k.kf_dir, k.residual, f.win_dir, a.topo, a.circular, {_REFDIR.replace('angle_graph', 'f.angle_graph').replace('angle_self', 'f.angle_self')} AS refdir,
+ CASE WHEN sqrt((b.bx - b.ax) ** 2 + (b.bz - b.az) ** 2) > 1e-6 THEN b.fwd END AS axis, f.win_dir IS NOT NULL AND k.speed >= 3 AS moving FROM best b JOIN kp k ON k.traj_id = b.traj_id AND k.seq = b.seq JOIN fill f ON f.traj_id = b.traj_id AND f.seq = b.seq JOIN around a ON a.traj_id = b.traj_id AND a.seq = b.seq),
+turned AS (SELECT *, {_facing('axis', 'win_dir')} AS ahead FROM fused), agreed AS (SELECT *, CASE WHEN moving AND {_diff('ahead', 'win_dir')} < 45 THEN ahead END AS agreed FROM turned),
+lasts AS (SELECT *, last_value(agreed IGNORE NULLS) OVER (PARTITION BY traj_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM agreed),
+topos AS (SELECT *, coalesce(CASE WHEN moving THEN ahead WHEN win_dir IS NOT NULL THEN CASE WHEN last IS NOT NULL THEN {_facing('axis', 'last')} ELSE axis END ELSE {_facing('axis', 'refdir')} END, circular) AS td, exp(-(residual * residual) / 3200) AS mc, least(1.0, 20 * topo) AS tc,
+ greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (z - az) * (bz - az)) / ((bx - ax) ** 2 + (bz - az) ** 2 + 1e-6))) AS foot FROM lasts),
+mixed AS (SELECT *, CASE WHEN speed < 3 THEN 0.0 ELSE greatest(0.0, least(0.9, least(mc / (mc + tc + 1e-6), speed / (speed + 20)))) END AS alpha FROM topos)"""
+
+
+@query(_REFINED + f""" SELECT traj_id, seq, {_r('0.25 * x + 0.75 * (ax + foot * (bx - ax))', 'fusion_x')}, {_r('0.25 * z + 0.75 * (az + foot * (bz - az))', 'fusion_z')},
+ {_r(_pmod('degrees(atan2(alpha * sin(radians(kf_dir)) + (1 - alpha) * sin(radians(td)), alpha * cos(radians(kf_dir)) + (1 - alpha) * cos(radians(td))))'), 'fusion_dir')}, {_r('alpha', 'fusion_alpha')}, pathname AS fusion_path FROM mixed""")
 def refined_state(spark, d):
-    out = estimator.run(obs(spark, d), _network(spark, d))
+    out = estimator.run(obs(spark, d), _any_network(spark, d))
     return out.select(*KEY, *map(r6, ("fusion_x", "fusion_z", "fusion_dir", "fusion_alpha")), "fusion_path")
 
 
@@ -551,9 +717,6 @@ for _name in ("ekf", "thmm", "hmm_mm", "kf_hmm"):
 
 # scoring
 
-_REFDIR = "((coalesce(angle_graph, angle_self, 0.0) % 360) + 360) % 360"
-
-
 def _metrics_sql(e: str, p: str) -> str:
     return ", ".join([_r(f"avg(abs({e}))", f"{p}_mae"), _r(f"sqrt(avg({e} * {e}))", f"{p}_rmse"), _r(f"stddev_pop({e})", f"{p}_std"), _r(f"quantile_cont(abs({e}), 0.5)", f"{p}_p50"), _r(f"quantile_cont(abs({e}), 0.9)", f"{p}_p90")])
 
@@ -580,6 +743,46 @@ def error_metrics_rollup(spark, d):
     return scoring.table(errs, ["flio"]).select("flio", "n", *map(r6, _METRICS), "reversed")
 
 
+_TRUTH = f"traj_id, seq, flio, event_id % 45 <= 30 AS ok, {_REFDIR} AS refdir, x, z"
+
+
+@query(_CVM + f", e AS (SELECT flio, CASE WHEN event_id % 45 <= 30 THEN cvm_x - x END AS ex, CASE WHEN event_id % 45 <= 30 THEN cvm_z - z END AS ez, CASE WHEN event_id % 45 <= 30 THEN {_diff('cvm_dir', _REFDIR)} END AS eh FROM cvm) SELECT coalesce(flio, 'all') AS flio, {_AGG} FROM e GROUP BY ROLLUP (flio)")
+def error_metrics_masked(spark, d):
+    """Samples faster than the mask allows have no errors; the speed is made up from the event's number."""
+    rows = windows.extrapolated(obs(spark, d)).withColumn("refdir", windows.reference_direction(F.col("angle_graph"), F.col("angle_self"))).withColumn("speed", (F.col("event_id") % 45).cast("double"))
+    return scoring.table(scoring.errors(rows, "cvm_x", "cvm_z", "cvm_dir", "speed"), ["flio"]).select("flio", "n", *map(r6, _METRICS), "reversed")
+
+
+_COMPARED = _CVM + _F2V + f""", est AS (SELECT 'cvm' AS method, traj_id, seq, cvm_x AS est_x, cvm_z AS est_z, cvm_dir AS est_dir FROM cvm UNION ALL SELECT 'kf_hmm', traj_id, seq, f2v_x, f2v_z, CASE WHEN seq % 9 > 0 THEN f2v_dir END FROM f2v),
+truth AS (SELECT {_TRUTH} FROM obs), er AS (SELECT method, flio, CASE WHEN ok THEN est_x - x END AS ex, CASE WHEN ok THEN est_z - z END AS ez, CASE WHEN ok THEN {_diff('est_dir', 'refdir')} END AS eh FROM est e JOIN truth t ON e.traj_id = t.traj_id AND e.seq = t.seq),
+mk AS (SELECT *, method = 'cvm' OR (ex IS NOT NULL AND ez IS NOT NULL AND eh IS NOT NULL) AS counts FROM er), e AS (SELECT method, flio, CASE WHEN counts THEN ex END AS ex, CASE WHEN counts THEN ez END AS ez, CASE WHEN counts THEN eh END AS eh FROM mk)"""
+
+
+@query(_COMPARED + f" SELECT method, coalesce(flio, 'all') AS flio, {_AGG} FROM e GROUP BY GROUPING SETS ((method, flio), (method))")
+def comparison_table(spark, d):
+    """The comparison's masks on two methods that SQL can express; the second is masked as the graph-prior ones are."""
+    rows = obs(spark, d)
+    est = windows.extrapolated(rows).select(F.lit("cvm").alias("method"), *KEY, F.col("cvm_x").alias("est_x"), F.col("cvm_z").alias("est_z"), F.col("cvm_dir").alias("est_dir"))
+    est = est.unionByName(windows.trailing_motion(rows).select(F.lit("kf_hmm").alias("method"), *KEY, F.col("f2v_x").alias("est_x"), F.col("f2v_z").alias("est_z"), F.when(F.col("seq") % 9 > 0, F.col("f2v_dir")).alias("est_dir")))
+    truth = rows.select(*KEY, "flio", "x", "z", (F.col("event_id") % 45).cast("double").alias("kf_speed"), windows.reference_direction(F.col("angle_graph"), F.col("angle_self")).alias("refdir"))
+    return scoring.table(baselines.comparison_errors(est, truth), ["method", "flio"]).select("method", "flio", "n", *map(r6, _METRICS), "reversed")
+
+
+@query()
+def seven_methods(spark, d):
+    """All seven methods by movement: the whole comparison."""
+    rows, loaded = obs(spark, d), _network(spark, d)
+    truth = estimator.motion(rows).select(*KEY, "flio", "x", "z", "kf_speed", "refdir")
+    errs = baselines.comparison_errors(baselines.all_methods(rows, loaded), truth)
+    return scoring.table(errs, ["method", "flio"]).select("method", "flio", "n", *map(r6, _METRICS), "reversed")
+
+
+@query()
+def layer_latency(spark, d):
+    """Milliseconds a sample of each layer, one track at a time; the figures differ from run to run."""
+    return scoring.latency(estimator.layer_timings(obs(spark, d), _network(spark, d))).select("layer", *map(r6, ("mean", "median", "p95", "p99", "max", "total", "share")))
+
+
 _BOTH = _CVM + _F2V + f", e AS (SELECT 'CVM' AS method, q.* FROM ({_errs('cvm', 'cvm_x', 'cvm_z', 'cvm_dir')}) q UNION ALL SELECT 'Flight2Vec', q.* FROM ({_errs('f2v', 'f2v_x', 'f2v_z', 'f2v_dir')}) q)"
 
 
