@@ -29,18 +29,23 @@ def _byte_letters() -> dict[int, int]:
 
 
 class WordEncoder(dict):
-    """Maps a word's UTF-8 bytes to its ids as little-endian unsigned 16-bit integers."""
+    """Maps a word's UTF-8 bytes to its ids as little-endian unsigned 16-bit integers.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    It remembers up to 2 * limit words: when there are limit new ones, those before them go, but for what was used
+    since."""
+
+    def __init__(self, path: str, limit: int = 200_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
-        self.model, self.limit, self.letters = self.tokenizer.model, limit, _byte_letters()
+        self.model, self.limit, self.letters, self.before = self.tokenizer.model, limit, _byte_letters(), {}
 
     def __missing__(self, word: bytes) -> bytes:
         low = word.lower()
-        if low != word:
+        if (ids := self.before.get(word)) is not None:
+            pass
+        elif low != word:
             ids = self[low]
         elif (head := word.rstrip(MARKS)) and (text := head.decode("utf-8", "replace").lower()).isalpha() and max(text) < "ɐ":
             ids = self._letters(text) if head == word else self[head] + self[word[len(head) :]]
@@ -58,9 +63,14 @@ class WordEncoder(dict):
     def _any(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def rest(self) -> None:
+        """At the end of a task: an idle worker keeps half of the words at most."""
+        self.before = {}
+
     def encode(self, text: str | None) -> bytes:
         """The whole text's ids; null is the empty text."""
         if len(self) > self.limit:
+            self.before = self.copy()
             self.clear()
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 

@@ -45,6 +45,7 @@ def token_pieces(docs: DataFrame, end_id: int = 1, capacity: int = CAPACITY, pat
                     lengths.append(len(part))
                     crcs.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.rest()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")

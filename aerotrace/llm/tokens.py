@@ -70,6 +70,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int, path: str | None = N
                     out.write(data)
                     sizes.append(len(data) // 2)
                 ids.append(batch.column("id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+        enc.rest()
         if sizes:
             fs.move(mark, f"{name}.bin")
             _write(fs, f"{name}.idx", [np.concatenate(([0], np.cumsum(sizes))).astype("<u8").tobytes()])
