@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,8 @@ def bounded(rows: DataFrame, key: str, text: str, chars: int, seed: int) -> Data
 def packed(docs: DataFrame) -> Column:
     """All columns as one struct, so that names of an operator's own can't clash with them; unpack with whole.*"""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def release() -> None:
+    """At the end of a task: freed Arrow memory goes back to the system, as idle workers are kept."""
+    pa.default_memory_pool().release_unused()

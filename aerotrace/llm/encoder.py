@@ -12,6 +12,8 @@ import string
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import release
+
 MARKS = string.punctuation.encode()
 
 
@@ -66,6 +68,7 @@ class WordEncoder(dict):
     def rest(self) -> None:
         """At the end of a task: an idle worker keeps half of the words at most."""
         self.before = {}
+        release()
 
     def encode(self, text: str | None) -> bytes:
         """The whole text's ids; null is the empty text."""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold, sampled
+from .common import bounded, fold, release, sampled
 
 #: Labelled rows that are learnt from, at most about so many.
 TRAIN_ROWS = 6_000
@@ -236,7 +236,7 @@ class Scorer:
         if len(low) != len(text):
             text = low
         cache, some = self.cache, set()
-        if len(cache) > 300_000:
+        if len(cache) > 100_000:
             cache.clear()
         for w in set(WORDS.findall(low)):
             if w not in cache:
@@ -296,7 +296,9 @@ def train(labelled: DataFrame, docs: DataFrame, bound: int = TRAIN_ROWS) -> Scor
 def score_column(text: Column, scorer: Scorer) -> Column:
     @F.pandas_udf("double")
     def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([scorer.score(t if isinstance(t, str) else None) for t in texts], dtype="float64")
+        out = pd.Series([scorer.score(t if isinstance(t, str) else None) for t in texts], dtype="float64")
+        release()
+        return out
 
     return udf(text)
 
