@@ -61,6 +61,12 @@ def test_still_tracks_have_no_direction_and_stops_inherit(spark):
     assert values(windows.filled_direction(windows.window_direction(track(spark, lead))), "observation_dir")[0] == 90.0
 
 
+def test_mean_heading_to_the_last_bit(spark):
+    """Bearings of opposite signs cancel: these five add up to 945."""
+    turns = [(36, -5), (48, -8), (50, -10), (58, -8), (62, -8), (62, -12), (64, -11)]
+    assert values(windows.trailing_motion(track(spark, turns)), "f2v_dir")[6] == 189.0
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_tiny_tracks(spark, n):
     rows = track(spark, [(i, 0) for i in range(n)])
