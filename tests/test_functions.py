@@ -65,6 +65,9 @@ def test_mean_heading_to_the_last_bit(spark):
     """Bearings of opposite signs cancel: these five add up to 945."""
     turns = [(36, -5), (48, -8), (50, -10), (58, -8), (62, -8), (62, -12), (64, -11)]
     assert values(windows.trailing_motion(track(spark, turns)), "f2v_dir")[6] == 189.0
+    turns = [(13, 0), (17, -3), (28, -6), (35, -6), (43, -5), (46, -2)]
+    steps = [(math.atan2(d - b, c - a) * (180.0 / math.pi) + 360.0) % 360.0 for (a, b), (c, d) in zip(turns, turns[1:], strict=False)]
+    assert values(windows.trailing_motion(track(spark, turns)), "f2v_dir")[1:5] == steps[:4]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
