@@ -235,9 +235,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop near-duplicates: of each group linked by a Jaccard similarity of 0.8 (five-word shingles) the smallest id stays.
 
-    No link at 0.8 is lost and every link is verified on the sets of shingles. Rows without an id can't be named and
+    Candidates are the components of the fingerprints, as simhash_components() has them, and what the fingerprints don't
+    bring within their radius comes from the prefix filter: no link at 0.8 is lost, and every link is verified on the
+    sets of shingles. Rows without an id can't be named and
     stay; null and empty texts have one set, the empty one, and are linked; repeated rows of the smallest id all stay;
     an empty table gives an empty one. Columns may have any names."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    drop = jaccard.drop_of(texts, *jaccard.candidates(texts)).select("id")
+    marked = simhash_components(texts, "id", "text").select(F.col("id").alias("rep"), F.xxhash64("component_id", F.lit(7)).alias("component"))
+    own, classes, met = jaccard.candidates(texts)
+    marked = written(classes.select("rep").join(marked, "rep").distinct(), "near-marked")
+    several = marked.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    marked = marked.join(several, "component").select("rep", "component")
+    drop = jaccard.drop_of(texts, own, classes, met.select("rep", "component").unionByName(marked)).select("id")
     return docs.select(packed(docs).alias("whole"), F.col(id_col).cast("bigint").alias("id")).join(drop, "id", "left_anti").select("whole.*")

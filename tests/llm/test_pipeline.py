@@ -109,3 +109,20 @@ def test_near_dedup_equals_brute_force(spark):
     root = components(list(range(len(texts))), lambda a, b: sets[a] == sets[b] or similar(sets[a], sets[b]))
     kept = {r.doc_id for r in simhash.keep_one(table(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)])).collect()}
     assert kept == {i for i in root if root[i] == i}
+
+
+def test_near_dedup_goes_by_fingerprints(spark, sf, monkeypatch):
+    """The stage finds near copies by SimHash and verifies them, without the prefix filter's candidates too."""
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, base, None, "a", 1), (2, base + " tail", None, "a", 1), (3, "some other words that stay as they are", None, "a", 1)]
+    docs = table(spark, rows)
+    links = simhash.simhash_components(docs).collect()
+    assert len({r.component_id for r in links if r.id < 3}) == 1 and len({r.component_id for r in links}) == 2
+    found = simhash.jaccard.candidates
+
+    def none(texts):
+        own, classes, met = found(texts)
+        return own, classes, met.limit(0)
+
+    monkeypatch.setattr(simhash.jaccard, "candidates", none)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf[0]).collect()} == {1, 3}
