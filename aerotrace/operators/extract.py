@@ -98,5 +98,5 @@ def trajectories(raw: DataFrame, features: DataFrame, rings: DataFrame, least: i
 def runway_of(rows: DataFrame, runways: DataFrame, limit: float = 5 * RUNWAY) -> DataFrame:
     """runways (name, ax, az, bx, bz): the nearest one to any point of a track, '' beyond the limit."""
     named = runways.withColumnRenamed("name", "kind")
-    d = spatial.feature_distance(rows.select("traj_id", "seq", "x", "z"), named, ["traj_id", "seq"]).groupBy("traj_id", "kind").agg(F.min("distance").alias("distance"))
+    d = spatial.nearest_feature_name(rows.select("traj_id", "seq", "x", "z"), named, ["traj_id", "seq"]).groupBy("traj_id", "kind").agg(F.min("distance").alias("distance"))
     return spatial.nearest_name(d.withColumnRenamed("kind", "name"), ["traj_id"], "name", limit)
