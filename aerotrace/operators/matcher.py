@@ -20,10 +20,8 @@ def nearest_segments(rows: DataFrame, loaded: Loaded, k: int, limit: float) -> D
     shared = rows.sparkSession.sparkContext.broadcast(loaded)
 
     def run(batches):
-        loaded = shared.value
-        grid = loaded.segment_grid()
         for b in batches:
-            found = grid.nearest(b[["x", "z"]].to_numpy(float), k, loaded.segment_distances, limit)
+            found = shared.value.nearest_segments(b[["x", "z"]].to_numpy(float), k, limit)
             n = [len(i) for i, _ in found]
             at = np.repeat(np.arange(len(b)), n)
             if len(at):
@@ -45,23 +43,20 @@ def map_match(rows: DataFrame, net: DataFrame, literal: bool = False) -> DataFra
     """Adds the matched segment and its distance, the smoothed own direction and the direction along the map.
 
     Missing positions count as (0, 0); tracks under three samples get nulls."""
-    n = with_neighbours(net).select("path_no", "seg_idx", "course", "prev_dx", "prev_dz", "next_dx", "next_dz").toPandas().sort_values(["path_no", "seg_idx"])
+    n = with_neighbours(net).select("path_no", "seg_idx", "course", "prev_dx", "prev_dz", "next_dx", "next_dz").toArrow().to_pandas().sort_values(["path_no", "seg_idx"])
     loaded = load_network(net)
     shared = rows.sparkSession.sparkContext.broadcast((loaded, n["course"].to_numpy(float), n[["prev_dx", "prev_dz"]].to_numpy(float), n[["next_dx", "next_dz"]].to_numpy(float), end_clusters(loaded.net.a, loaded.net.b, literal=literal)))
     rows = rows.withColumn("x", F.coalesce("x", F.lit(0.0))).withColumn("z", F.coalesce("z", F.lit(0.0)))
     rows = windows.central_direction(windows.window_direction(rows, 20, signed=True, out="win20"))
-    grids: dict = {}
 
     def kernel(track: pd.DataFrame) -> pd.DataFrame:
         if len(track) < 3:
             return track.assign(angle_self_new=None, angle_graph_new=None, graph_match_dist=None, graph_seg_idx=None)
         loaded, course, before, after, cluster = shared.value
         net = loaded.net
-        if "segments" not in grids:
-            grids["segments"] = loaded.segment_grid()
         p = track[["x", "z"]].to_numpy(float)
         window, clean = track["win20"].to_numpy(float), track["clean_dir"].to_numpy(float)
-        found = grids["segments"].nearest(p, kernels.TOP_K, loaded.segment_distances, kernels.CANDIDATE_LIMIT)
+        found = loaded.nearest_segments(p, kernels.TOP_K, kernels.CANDIDATE_LIMIT)
         seg = kernels.matcher_viterbi([f[0] for f in found], [f[1] for f in found], window, course, cluster)
         dist = np.array([f[1][f[0] == s][0] if s >= 0 else np.inf for f, s in zip(found, seg, strict=True)])
         at = np.maximum(seg, 0)
