@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard
 from .common import packed, written
-from .graph import connected_components
+from .graph import FEW, connected_components
 
 #: Rows of a bucket that one task compares at a time.
 BLOCK = 2048
@@ -217,17 +217,17 @@ def similar_links(classes: DataFrame, words: int = 1, radius: int = 3, block: in
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_links(words, radius), "a bigint, b bigint")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 3, few: int = 0) -> DataFrame:
     """(id, fp, component_id) for every row of docs.
 
     fp: SimHash of the whole text, A-Z lower-cased, over word shingles. component_id: the smallest id reachable
     over links of at most `radius` differing bits. Null and empty texts have the fingerprint 0 and are linked like
     any other; repeated rows stay repeated. A row with a null id gets the component of its fingerprint, null if no
-    row with an id has that fingerprint. Other columns of docs are ignored, whatever their names."""
+    row with an id has that fingerprint. Other columns of docs are ignored, whatever their names. few: see connected_components()."""
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), fingerprint_column(F.col(text_col), shingle, words).alias("fp"))
     own = written(own, "fingerprints")
     classes = written(own.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    found = connected_components(similar_links(classes, words, radius))
+    found = connected_components(similar_links(classes, words, radius), few)
     named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(written(named, "components"), "fp").select("id", "fp", "component_id")
 
@@ -241,7 +241,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay; null and empty texts have one set, the empty one, and are linked; repeated rows of the smallest id all stay;
     an empty table gives an empty one. Columns may have any names."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    marked = simhash_components(texts, "id", "text").select(F.col("id").alias("rep"), F.xxhash64("component_id", F.lit(7)).alias("component"))
+    marked = simhash_components(texts, "id", "text", few=FEW).select(F.col("id").alias("rep"), F.xxhash64("component_id", F.lit(7)).alias("component"))
     own, classes, met = jaccard.candidates(texts)
     marked = written(classes.select("rep").join(marked, "rep").distinct(), "near-marked")
     several = marked.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")

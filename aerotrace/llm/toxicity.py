@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold, release, sampled
+from .common import bounded, fold, release, sampled, trim
 
 #: Labelled rows that are learnt from, at most about so many.
 TRAIN_ROWS = 6_000
@@ -221,8 +221,14 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"automaton": None, "cache": {}}
 
+    def forget(self) -> None:
+        """Drop what match() works out anew: the driver, which only learns, keeps a scorer as long as its plan."""
+        self.automaton, self.cache = None, {}
+
     def match(self, word: str) -> tuple[str, int, float] | None:
         """(term, edits, mass) of a word; a misspelling's mass is 1 / (1 + ordinary words as close to the term)."""
+        if self.automaton is None:
+            self.automaton = Automaton(self.words, self.stems)
         hit = self.automaton.match(word)
         if hit is None or hit[1] and word in self.ordinary:
             return None
@@ -230,8 +236,6 @@ class Scorer:
 
     def hits(self, text: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, term, edits, mass) of every hit in the whole text; the mass is weighed by the context."""
-        if self.automaton is None:
-            self.automaton = Automaton(self.words, self.stems)
         low = text.lower()
         if len(low) != len(text):
             text = low
@@ -290,6 +294,9 @@ def train(labelled: DataFrame, docs: DataFrame, bound: int = TRAIN_ROWS) -> Scor
         return scorer
     scorer = Scorer(*learn_lexicon(rows), [t for t, y in rows if not y])
     scorer.fit(rows)
+    scorer.forget()
+    rows.clear()
+    trim()
     return scorer
 
 

@@ -131,6 +131,26 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_components_finished_in_one_task(spark, few):
+    """However many edges one task finishes, the components are the same."""
+    rnd = random.Random(few)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(-5, -(2**62)), (2**62, -5), (7, 7), (None, 3)]
+    near = {frozenset(e) for e in edges}
+    ids = sorted({x for e in edges for x in e if x is not None})
+    want = components(ids, lambda a, b: frozenset((a, b)) in near)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), few).collect()
+    assert {r.node: r.component for r in got} == {i: c for i, c in want.items() if i != c} and len(got) == len({r.node for r in got})
+
+
+def test_learning_leaves_nothing_on_the_driver(spark):
+    """A scorer that the driver has learnt keeps no words it met, and scores as before."""
+    docs, labels = labelled(spark)
+    scorer = toxicity.train(spark.createDataFrame([(i, y) for i, _, y in labels], "doc_id long, toxic int"), table(spark, docs))
+    assert not scorer.cache and scorer.automaton is None
+    assert scorer.match(min(scorer.words))[1] == 0 and scorer.score(docs[0][1]) > 0.7 > scorer.score(docs[1][1])
+
+
 def test_encoder_equals_the_library():
     tok, enc, rnd = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path(), 50), random.Random(3)
     texts = [None, "", "don't I'LL 's foo's, x.y ΣΑΣ ΟΔΟΣ İs ﬁ e\u0301 <|endoftext|>a \u00a0b\u2003c\x1cd ½ ٣ 日本。", *("".join(rnd.choice("aAbéÉßŒİ.,'!#1٣ \n\tsStdé日Σς́") for _ in range(rnd.randint(1, 50))) for _ in range(1500))]

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from aerotrace.llm import mixing, simhash
+from aerotrace.llm import graph, mixing, simhash
 from tests.llm.test_operators import AWKWARD, SCHEMA, components, labelled, near_copies, packed_well, table
 
 COLUMNS = SCHEMA.replace(",", "").split()[::2]
@@ -126,3 +126,13 @@ def test_near_dedup_goes_by_fingerprints(spark, sf, monkeypatch):
 
     monkeypatch.setattr(simhash.jaccard, "candidates", none)
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf[0]).collect()} == {1, 3}
+
+
+def test_near_dedup_costs_the_driver_few_plans(spark, sf, monkeypatch):
+    """Each of its graphs is written once: small ones take no rounds, whose plans and broadcasts fill the driver."""
+    wrote = []
+    write = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: wrote.append(name) or write(df, name))
+    texts = graded(4)
+    kept = corpus_pipeline.near_dedup_stage(spark, table(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)]), sf[0]).count()
+    assert 0 < kept < len(texts) and len(wrote) == 4
